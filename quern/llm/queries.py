@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import new_path, table
 from quern.llm.dac import read_files, write_files
+from quern.llm.mixing import mix
 from quern.llm.packing import pack
 from quern.llm.quality import quality_scores
+from quern.llm.secrets import count_kind, secret_spans, written
 from quern.llm.simhash import simhash_groups
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [count_kind("base", rank).alias(name) for rank, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    return found.select("doc_id", *kinds, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_files(table(spark, sf_dir, "documents"), new_path(spark, "token-files"))
     return read_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -34,6 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op5_secret_scans": op5_secret_scans,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
