@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import pii
+from quern.llm.chat import format_conversations, parsed, under_mask
 from quern.llm.common import new_path, table
 from quern.llm.dac import read_files, write_files
 from quern.llm.mixing import mix
@@ -16,6 +18,23 @@ from quern.llm.secrets import count_kind, secret_spans, written
 from quern.llm.simhash import simhash_groups
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    more = spark.sql("SELECT CAST(-7 AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM VALUES (0, 'user', :t), (1, 'assistant', :t) AS v(turn, role, text)", args={"t": both})
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    done = format_conversations(rows).withColumn("turns", parsed(F.col("text"))).withColumn("learnt", under_mask(F.col("text"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.length("text").cast("bigint").alias("formatted_chars"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    written_ = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written_("base"), 256).alias("base_sha256"), written_("spans").alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -47,6 +66,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op7_token_files": op7_token_files,
