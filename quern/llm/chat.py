@@ -17,6 +17,7 @@ and must fit a task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -125,8 +126,9 @@ def turns_of_columns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tu
     """The layout's name and the canonical turns of a DataFrame whose columns are a record's fields."""
     words = set(vocabulary(layouts))
     own = tuple(sorted(paths_of(df.schema) & words))
-    known = {hash(paths): k for paths, k in fingerprints(layouts)}
-    if (k := known.get(hash(own))) is None:
+    print_of = lambda paths: hashlib.sha256("|".join(paths).encode()).hexdigest()
+    known = {print_of(paths): k for paths, k in fingerprints(layouts)}
+    if (k := known.get(print_of(own))) is None:
         return "unknown", F.lit(None).cast(_TURNS)
     has = set(own)
     scalar = lambda p: df[p].cast("string") if p in has else F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import pii
+from quern.llm import html, pii
 from quern.llm.chat import format_conversations, parsed, under_mask
 from quern.llm.common import new_path, table
 from quern.llm.dac import read_files, write_files
@@ -46,6 +46,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_files(table(spark, sf_dir, "documents"), new_path(spark, "token-files"))
     return read_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
