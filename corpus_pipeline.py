@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import cut, table
+from quern.llm.mixing import mix_documents
+from quern.llm.packing import pack
 from quern.llm.quality import filter_quality
+from quern.llm.secrets import redact
 from quern.llm.simhash import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +26,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("simhash near-dedup", near_dedup)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; all documents stay."""
+    return redact(docs)
 
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix of sources takes it."""
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences with their token ids; a document that the mix repeats is packed as often."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_dedup),
+    ("secret scans", secrets),
+    ("mixing sources", mixing),
+    ("packing", packing),
+]
+
+#: zstandard ratios, XXH64 and token ids have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
