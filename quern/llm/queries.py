@@ -16,6 +16,7 @@ from quern.llm.packing import pack
 from quern.llm.quality import quality_scores
 from quern.llm.secrets import count_kind, secret_spans, written
 from quern.llm.simhash import simhash_groups
+from quern.llm.topk import top_k
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "documents"))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     kinds = [count_kind("base", rank).alias(name) for rank, name in enumerate(("n_assign", "n_access", "n_hex"))]
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_top_k_search": op4_top_k_search,
     "op5_secret_scans": op5_secret_scans,
     "op6_html_extraction": op6_html_extraction,
     "op7_token_files": op7_token_files,
@@ -81,4 +88,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4 = r"""
+WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+ posting AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+ length AS (SELECT doc_id, sum(tf) AS n FROM posting GROUP BY 1),
+ corpus AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM length),
+ weight AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting, corpus GROUP BY term, docs),
+ pair AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+          FROM posting q JOIN posting p USING (term) JOIN weight USING (term) JOIN length ON length.doc_id = p.doc_id, corpus
+          WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pair)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_top_k_search": _OP4}
