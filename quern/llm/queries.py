@@ -12,6 +12,7 @@ from quern.llm.chat import format_conversations, parsed, under_mask
 from quern.llm.common import new_path, table
 from quern.llm.dac import read_files, write_files
 from quern.llm.mixing import mix
+from quern.llm.oracle import ORACLE_SQL  # noqa: F401
 from quern.llm.packing import pack
 from quern.llm.quality import quality_scores
 from quern.llm.secrets import count_kind, secret_spans, written
@@ -87,18 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
 }
-
-_OP4 = r"""
-WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
- posting AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
- length AS (SELECT doc_id, sum(tf) AS n FROM posting GROUP BY 1),
- corpus AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM length),
- weight AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting, corpus GROUP BY term, docs),
- pair AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
-          FROM posting q JOIN posting p USING (term) JOIN weight USING (term) JOIN length ON length.doc_id = p.doc_id, corpus
-          WHERE q.doc_id % 20 = 0 GROUP BY ALL),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pair)
-SELECT query_id, rank, doc_id, round(score, 4) AS score FROM ranked WHERE rank <= 10
-"""
-
-ORACLE_SQL: dict[str, str] = {"op4_top_k_search": _OP4}
