@@ -223,8 +223,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """The rows of ``df``, one of each component: that with the smallest id."""
     groups = cut(simhash_groups(df, id_col, text_col, radius), "groups")
     counted = cut(groups.groupBy("component_id", "doc_id").count().filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.sum("count").alias("rows")), "kept")
-    at = df[id_col].cast("bigint")
-    once = df.join(counted.filter("rows = 1").select(F.col("doc_id").alias("_kept")), at.eqNullSafe(F.col("_kept")), "left_semi")
+    # by hash at every size: texts are shuffled once, and neither side is broadcast or sorted
+    wanted = lambda rows: df.join(rows.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash"), df[id_col].cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    once, several = wanted(counted.filter("rows = 1")), counted.filter("rows > 1")
     # an id that several rows share: those rows alone are compared, by id and text
-    more = df.join(counted.filter("rows > 1").select(F.col("doc_id").alias("_kept")), at.eqNullSafe(F.col("_kept")), "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col, text_col]))
+    return once if several.isEmpty() else once.unionByName(wanted(several).dropDuplicates([id_col, text_col]))
