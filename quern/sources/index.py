@@ -59,6 +59,11 @@ def _tokens(df: DataFrame, spec: FieldSpec) -> Column:
     return F.aggregate(each, F.expr(f"cast(array() as {TOKENS})"), lambda acc, more: F.concat(acc, F.transform(more, lambda t: F.struct(t["term"].alias("term"), (t["pos"] + F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1)["pos"], F.lit(0))).alias("pos"), t["start"].alias("start"), t["end"].alias("end")))))
 
 
+def _field_stats(term_dict: DataFrame, norms: DataFrame) -> DataFrame:
+    terms = term_dict.groupBy("field").agg(F.sum("ttf").alias("ttf"), F.count("*").alias("n_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
+    return norms.groupBy("field").agg(F.count("*").alias("n_docs")).join(terms, "field").select("field", "n_docs", "ttf", "n_terms", "min_term", "max_term")
+
+
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame
@@ -98,9 +103,7 @@ class Index:
         """Dictionary, norms and statistics follow from the postings."""
         term_dict = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
         norms = postings.groupBy("field", "doc_id").agg(F.first("length").alias("length"), (F.sum("tf") - F.size(F.array_distinct(F.flatten(F.collect_list("positions"))))).alias("num_overlap"), F.max("tf").alias("max_tf"), F.count("*").alias("num_unique"))
-        terms = term_dict.groupBy("field").agg(F.sum("ttf").alias("ttf"), F.count("*").alias("n_terms"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
-        with_field = postings.select("field", "doc_id").distinct().groupBy("field").agg(F.count("*").alias("n_docs"))
-        return Index(docs, postings, term_dict, norms, terms.join(with_field, "field").select("field", "n_docs", "ttf", "n_terms", "min_term", "max_term"), fields)
+        return Index(docs, postings, term_dict, norms, _field_stats(term_dict, norms), fields)
 
     def save(self, path: str, partitions: int | None = None) -> Index:
         """Writes the tables and returns the index that reads them."""
@@ -110,8 +113,7 @@ class Index:
         saved = Index.of_tables(self.spark.read.parquet(f"{path}/docs"), self.spark.read.parquet(f"{path}/postings"))
         saved.term_dict.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/term_dict")
         saved.norms.write.parquet(f"{path}/norms")
-        saved = replace(saved, term_dict=self.spark.read.parquet(f"{path}/term_dict"))
-        Index.of_tables(saved.docs, saved.postings).field_stats.coalesce(1).write.parquet(f"{path}/field_stats")
+        _field_stats(self.spark.read.parquet(f"{path}/term_dict"), self.spark.read.parquet(f"{path}/norms")).coalesce(1).write.parquet(f"{path}/field_stats")
         return replace(Index.open(self.spark, path), fields=self.fields, relations=self.relations)
 
     @staticmethod
