@@ -155,7 +155,10 @@ class Search:
     # --- filters
 
     def _plan(self, f: Filter, boost: float) -> DataFrame:
-        return getattr(self, f"_{type(f).__name__.lower()}")(f, boost * getattr(f, "boost", 1.0))
+        boost = boost * getattr(f, "boost", 1.0)
+        if hasattr(f, "plan"):  # filters of one's own: plan(search, boost) gives (doc_id, score)
+            return f.plan(self, boost)
+        return getattr(self, f"_{type(f).__name__.lower()}")(f, boost)
 
     def _empty(self, f: Empty, boost: float) -> DataFrame:
         return self._none()

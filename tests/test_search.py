@@ -1,10 +1,11 @@
 import math
 import random
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.filters import All, And, Empty, Exists, Fuzzy, Nested, NGramSimilarity, Not, NumericRange, Or, Phrase, Prefix, Proxy, Range, SamePosition, Term, Terms, Wildcard, visit
+from quern.operators.filters import All, And, Empty, Exists, Filter, Fuzzy, Nested, NGramSimilarity, Not, NumericRange, Or, Phrase, Prefix, Proxy, Range, SamePosition, Term, Terms, Wildcard, visit
 from quern.operators.scorers import BM25, TFIDF, BoostScore, make_scorer
 from quern.plans.planner import Search, longest_sequence
 from quern.plans.rewrite import rewrite
@@ -89,6 +90,18 @@ def test_booleans(index, corpus):
     assert seen == ["And", "Term", "Or", "Term", "Not", "Term"]
 
 
+@dataclass(frozen=True)
+class Odd(Filter):
+    """Documents with odd ids."""
+
+    def plan(self, search, boost):
+        return search.index.docs.filter("doc_id % 2 = 1").select("doc_id", F.lit(boost).alias("score"))
+
+
+def test_custom_filter(index, corpus):
+    assert ids(index, And((Odd(), Term("text", "abc"))), BM25()) == having(corpus, lambda d: d[0] % 2 and "abc" in words(d))
+
+
 def test_terms(index, corpus):
     pairs = (("abc", 1.0), ("xyz", 1.0), ("high", 1.0))
     assert ids(index, Terms("text", pairs, 2)) == having(corpus, lambda d: len({"abc", "xyz", "high"} & {*words(d)}) >= 2)
