@@ -362,13 +362,16 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[Page, n
                 body.append("<table>" + "".join(f"<tr><td>{mark(words(1, 4))}</td><td>{mark(words(1, 4))}</td></tr>" for _ in range(some(2, 4))) + "</table>")
             else:
                 body.append(f"<pre>{mark(words(5, 30))}</pre>")
-            if chance(0.06):
-                body.append(pick([advert, share, notice])())
+            if chance(0.12):
+                body.append(pick([advert, share, notice, form, sidebar, menu])())
+        if body and chance(0.12):
+            body.append(pick([comments, footer, form, share])())
         if not head and not body:
             head = f"<h1>{title}</h1>"
         inner = head + "".join(body)
         wrap = pick(["article", "article", "article", "main", "div", "div", "section"])
-        attributes = name("content", "post", "entry-content", "article-body", "story", "main-text", "blog-post") if wrap in ("div", "section") or chance(0.3) else ""
+        bare = chance(0.2) if wrap in ("div", "section") else chance(0.7)
+        attributes = "" if bare else name("content", "post", "entry-content", "article-body", "story", "main-text", "blog-post")
         out = f"<{wrap}{attributes}>{inner}</{wrap}>"
         return f"<main{pick(['', name('main', 'page-content')])}>{out}</main>" if chance(0.2) and wrap != "main" else out
 
