@@ -192,13 +192,24 @@ class Search:
         condition = F.col("term") == f.term
         if self.scorer is None:
             return self._postings(f.field, condition).select("doc_id", F.lit(0.0).alias("score"))
+        if "df" in self.index.postings.columns:
+            return self._scored_by_df(f.field, condition, F.lit(boost)).select("doc_id", "score")
         hits = self._postings(f.field, condition, "tf", "length").join(self._idf(f.field, self._dictionary(f.field, condition)), "term")
         return self._scored(f.field, hits, "idf", F.lit(boost)).select("doc_id", "score")
 
+    def _scored_by_df(self, field: str, condition: Column, boost: Column) -> DataFrame:
+        """Postings with ``score``, by the df that saved ones carry."""
+        rows = self._postings(field, condition, "tf", "length", "df").crossJoin(self._stats(field))
+        idf = self.scorer.idf(F.col("df").cast("double"), F.col("n_docs").cast("double"))
+        return rows.withColumn("score", self.scorer.score(F.col("tf").cast("double"), F.col("length").cast("double"), idf, F.col("mean"), boost))
+
     def _terms(self, f: Terms, boost: float) -> DataFrame:
         condition = self._condition(f)
         given = dict(f.terms)
         boosts = F.element_at(F.create_map(*[F.lit(x) for t, b in given.items() for x in (t, float(b))]), F.col("term")) * boost
+        if self.scorer is not None and "df" in self.index.postings.columns:
+            hits = self._scored_by_df(f.field, condition, boosts)
+            return hits.groupBy("doc_id").agg(F.count("*").alias("n"), merged(f.merge).alias("score")).filter(F.col("n") >= f.min_match).select("doc_id", "score")
         return self._terms_hits(f.field, self._dictionary(f.field, condition), condition, boosts, f.merge, f.min_match)
 
     def _multi(self, f: Prefix | Range | Wildcard, boost: float) -> DataFrame:

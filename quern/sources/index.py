@@ -7,7 +7,8 @@ norms      field, doc_id, length, num_overlap, max_tf, num_unique
 field_stats  field, n_docs, ttf, n_terms, min_term, max_term
 
 A posting carries its document's length, so scoring joins nothing of the corpus' size.  Saved postings and dictionary are range-partitioned and
-sorted by (field, term), so row-group statistics leave the files of other terms unread.
+sorted by (field, term), so row-group statistics leave the files of other terms unread.  A saved posting also carries its term's df (one run
+of equal values per term, which costs next to nothing), so named terms are scored from one scan without the dictionary.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.analysis import TOKENS, Analyzer, Identity, Words
+from quern.sources.files import Files
 
 #: A longer term is left out; its position stays taken.
 MAX_TERM_BYTES = 32768
@@ -109,11 +111,16 @@ class Index:
         """Writes the tables and returns the index that reads them."""
         n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.docs.write.parquet(f"{path}/docs")
-        self.postings.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{path}/postings")
-        saved = Index.of_tables(self.spark.read.parquet(f"{path}/docs"), self.spark.read.parquet(f"{path}/postings"))
+        # tokenized once; ranges may end inside a term, so a frequent one is spread over many
+        raw = f"{path}/_postings"
+        self.postings.drop("df").write.parquet(raw)
+        saved = Index.of_tables(self.docs, self.spark.read.parquet(raw))
         saved.term_dict.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/term_dict")
+        counted = saved.postings.join(self.spark.read.parquet(f"{path}/term_dict").select("field", "term", "df"), ["field", "term"])
+        counted.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{path}/postings")
         saved.norms.write.parquet(f"{path}/norms")
         _field_stats(self.spark.read.parquet(f"{path}/term_dict"), self.spark.read.parquet(f"{path}/norms")).coalesce(1).write.parquet(f"{path}/field_stats")
+        Files(self.spark, raw).delete(raw)
         return replace(Index.open(self.spark, path), fields=self.fields, relations=self.relations)
 
     @staticmethod

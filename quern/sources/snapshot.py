@@ -204,7 +204,7 @@ class Writer:
         docs = self.spark.read.parquet(f"{path}/docs")
         index = Index.build(docs, self.fields)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self._write(index.postings.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
+        self._write(index.postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
         self._files.delete(f"{path}/raw")
         count = docs.count()
         info = {"name": name, "docs": count, "bytes": self._files.bytes(path), "first_id": m.next_id, "last_id": m.next_id + count - 1}
@@ -239,7 +239,7 @@ class Writer:
         docs = alive(part.docs)
         self._write(docs.repartitionByRange(*self.sort_by, "doc_id").sortWithinPartitions(*self.sort_by, "doc_id"), f"{path}/docs")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self._write(alive(part.postings).repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
+        self._write(alive(part.postings).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
         count = self.spark.read.parquet(f"{path}/docs").count()
         rest = tuple(s for s in self._manifest.segments if s["name"] not in names)
         merged = {"name": name, "docs": count, "bytes": self._files.bytes(path), "first_id": min(s["first_id"] for s in old), "last_id": max(s["last_id"] for s in old)}
