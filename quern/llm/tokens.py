@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words and pieces kept in a worker before a cache starts anew.
-CACHE_WORDS, CACHE_PIECES = 500_000, 900_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 500_000
 
 # NFC leaves these as they are, they lower-case within the set, and each one's class is known:
 # ASCII without odd controls, Latin-1 signs and letters, Latin Extended-A without the dotted capital I, dashes, quotes.
