@@ -254,14 +254,29 @@ class Search:
         return self._scored(f.field, found.crossJoin(F.broadcast(idf)), "idf", F.lit(boost)).select("doc_id", "score")
 
     def offsets(self, f: Filter) -> DataFrame:
-        """(doc_id, begin, end) of each match of a term or phrase, in code points; the field needs offsets."""
+        """(doc_id, begin, end) of each match of a term, phrase or n-gram sequence, in code points; the field needs offsets."""
         f = rewrite(f, False)
         if isinstance(f, Term):
             rows = self._postings(f.field, F.col("term") == f.term, "starts", "ends")
             return rows.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("at")).select("doc_id", F.col("at.starts").alias("begin"), F.col("at.ends").alias("end"))
         if isinstance(f, Phrase):
             return self._phrase_starts(f, "starts", "ends").select("doc_id", "begin", "end")
-        raise TypeError("offsets are kept for terms and phrases")
+        if isinstance(f, NGramSimilarity):
+            need, grams = needed_ngrams(f), list(dict.fromkeys(f.ngrams))
+            rows = self._postings(f.field, F.col("term").isin(grams), "positions", "starts", "ends").groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions", "starts", "ends")).alias("found"))
+
+            @pandas_udf("array<struct<begin:int,end:int>>")
+            def spans(found: pd.Series) -> pd.Series:
+                out = []
+                for each in found:
+                    length, places = sequence_places(f.ngrams, {x["term"]: list(x["positions"]) for x in each})
+                    start = {p: a for x in each for p, a in zip(x["positions"], x["starts"])}
+                    end = {p: b for x in each for p, b in zip(x["positions"], x["ends"])}
+                    out.append([{"begin": int(start[a]), "end": int(end[b])} for a, b in places] if length >= need else [])
+                return pd.Series(out)
+
+            return rows.select("doc_id", F.inline(spans("found")))
+        raise TypeError("offsets are kept for terms, phrases and n-gram sequences")
 
     def _ngramsimilarity(self, f: NGramSimilarity, boost: float) -> DataFrame:
         if self._lacks(f.field, "pos"):
@@ -343,12 +358,12 @@ class Search:
         return self._constant(self.cache[f.filter], boost)
 
 
-def longest_sequence(query: tuple[str, ...], positions: dict[str, list[int]]) -> tuple[int, int]:
-    """Length of the longest chain of query n-grams, in the query's order, at rising positions, and how often its n-grams follow
-    each other without overlap."""
+def sequence_places(query: tuple[str, ...], positions: dict[str, list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Length of the longest chain of query n-grams, in the query's order, at rising positions, and the (first, last) positions at
+    which its n-grams follow each other without overlap."""
     places = sorted((p, k) for k, g in enumerate(query) for p in positions.get(g, ()))
     if not places:
-        return 0, 0
+        return 0, []
     best: list[tuple[int, int]] = []  # (length, previous)
     for i, (p, k) in enumerate(places):
         top = (1, -1)
@@ -362,14 +377,22 @@ def longest_sequence(query: tuple[str, ...], positions: dict[str, list[int]]) ->
         chain.append(places[i][1])
         i = best[i][1]
     chain.reverse()
-    times = at = 0
-    last = -1
+    found: list[tuple[int, int]] = []
+    at, first, last = 0, -1, -1
     for p, k in places:
         if p > last and query[k] == query[chain[at]]:
+            first = p if at == 0 else first
             at, last = at + 1, p
             if at == len(chain):
-                times, at = times + 1, 0
-    return len(chain), times
+                found.append((first, last))
+                at = 0
+    return len(chain), found
+
+
+def longest_sequence(query: tuple[str, ...], positions: dict[str, list[int]]) -> tuple[int, int]:
+    """Length of the longest chain, and how often it comes."""
+    length, found = sequence_places(query, positions)
+    return length, len(found)
 
 
 def search_all(index: Index, f: Filter, scorers: list[Scorer]) -> DataFrame:

@@ -163,6 +163,9 @@ def test_ngram_sequences(spark):
     assert longest_sequence(("a", "b"), {"a": [1, 5], "b": [2, 6]}) == (2, 2)
     assert longest_sequence(("a", "b"), {"a": [3], "b": [2]}) == (1, 1)
     assert longest_sequence(("a",), {}) == (0, 0)
+    text = spark.createDataFrame([(1, "a x b c a b c"), (2, "c b a")], "doc_id long, t string")
+    spans = Search(Index.build(text, [text_field("t", features="offs")])).offsets(NGramSimilarity("t", ("a", "b", "c"), 0.7, False))
+    assert sorted(map(tuple, spans.collect())) == [(1, 0, 7), (1, 8, 13)]
     df = spark.createDataFrame([(1, ["at", "tl", "la", "as"]), (2, ["as", "la", "tl", "at"]), (3, ["at", "x", "la"])], "doc_id long, f array<string>")
     index = Index.build(df, [keyword_field("f")])
     assert ids(index, NGramSimilarity("f", ("at", "tl", "la", "as", "ll"), 0.6)) == [1]
