@@ -29,6 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A table of few splits would be tokenized by few tasks; a large one keeps its own.  For plain scans, whose splits are
+    known without running anything."""
+    n = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def _kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Index]) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _INDEXES:
@@ -39,14 +46,14 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Index
 def documents_index(spark: SparkSession, sf_dir: str) -> Index:
     def build() -> Index:
         labels = _table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
-        docs = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+        docs = _spread(_table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
         return Index.build(docs, [text_field("text"), keyword_field("source"), keyword_field("lang")], stored=["source", "lang", "n_chars", "quality", "toxic"])
 
     return _kept(spark, sf_dir, "documents", build)
 
 
 def offsets_index(spark: SparkSession, sf_dir: str) -> Index:
-    return _kept(spark, sf_dir, "offsets", lambda: Index.build(_table(spark, sf_dir, "documents"), [text_field("text", features="offs")], stored=["source"]))
+    return _kept(spark, sf_dir, "offsets", lambda: Index.build(_spread(_table(spark, sf_dir, "documents")), [text_field("text", features="offs")], stored=["source"]))
 
 
 def parts_index(spark: SparkSession, sf_dir: str) -> Index:
