@@ -12,10 +12,12 @@ ever walked.
 
 Shards.  ``splitting_tree`` halves the sources' block quotas again and again with multivariate-hypergeometric draws until each
 output shard has its exact counts; ``draw_blocks`` gives each shard a disjoint run of each source's permuted blocks and orders
-each shard by a local key.
+each shard by a local key.  ``mix_documents`` deals the documents themselves so: a partition is a shard, in its shuffled order.
 
-Text is read once and never shuffled: sizes and keys are thin, sources and the walked buckets' picks are joined by
-value, and the session decides by their measured size whether to broadcast them.
+Sizes and keys are thin, sources and the walked buckets' picks are joined by value, and the session decides by their
+measured size whether to broadcast them.  ``mix`` doesn't shuffle text; ``mix_documents`` shuffles it once, to its shard.  A block finds
+its shard by the keys at which its source's runs end (sources times shards of them, ``MAX_CELLS`` at most by default); rows alike in
+id, source and text that such an end parts are numbered.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own; rows of equal id, source and
 size stand or fall together; without any words all targets are 0; an empty table gives an empty one; further columns are
@@ -38,6 +40,7 @@ MAX_REPEATS = 3
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS, MAX_BUCKETS = 256, 65536
+SHARD_WORDS, MAX_CELLS = 1 << 21, 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -108,9 +111,9 @@ def _with_copies(rows: DataFrame, sources: DataFrame, picks: DataFrame) -> DataF
     return out.withColumn("_copies", copies).drop("_s", "buckets", "passes", "whole", "_ps", "_pid", "_psize", "_picked")
 
 
-def _thin(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _thin(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
     doc_id = df[id_col].cast("bigint")
-    return df.select(doc_id.alias("doc_id"), df[source_col].cast("string").alias("source"), size_of(df[text_col]).alias("size"), order_key(doc_id, seed).alias("key"))
+    return df.select(doc_id.alias("doc_id"), df[source_col].cast("string").alias("source"), size_of(df[text_col]).alias("size"), order_key(doc_id, seed).alias("key"), *more)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -121,15 +124,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return _with_copies(rows, sources, picks).select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
-def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it.  The text isn't shuffled."""
-    sources, picks = plan(cut(_thin(df, id_col, text_col, source_col, seed), "sizes"), weights, max_repeats)
-    doc_id = df[id_col].cast("bigint")
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), doc_id.alias("_id"), df[source_col].cast("string").alias("_source"), size_of(df[text_col]).alias("_size"), order_key(doc_id, seed).alias("_key"))
-    taken = _with_copies(rows, sources, picks).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select("_row.*")
-
-
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     """Beyond the generator's bound a normal draw of the same mean and variance, held within what is possible."""
     low, high = max(0, draws - bad), min(good, draws)
@@ -166,13 +160,15 @@ def splitting_tree(quotas: list[int], n_shards: int, seed: int = SEED) -> np.nda
     return out
 
 
-def draw_blocks(mixed: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
-    """From ``mix``'s rows the blocks (doc_id, source, copy, shard, position_key); sorting a shard by position_key shuffles it.
+def shards_for(sources: DataFrame) -> int:
+    """Shards of about SHARD_WORDS words, fewer where there are very many sources."""
+    r = sources.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
+    return max(1, min(-int(-r.words // SHARD_WORDS), MAX_CELLS // max(r.n, 1)))
 
-    The quotas (one count per source and shard) lie on the driver: n_shards is a parameter, and sources times shards must stay
-    under 50 million."""
-    blocks = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc_id", "source", "copy", F.md5(F.concat_ws(":", F.lit(str(seed)), "copy", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
-    blocks = cut(blocks.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int")), "blocks")
+
+def _deal(blocks: DataFrame, n_shards: int, seed: int) -> tuple[DataFrame, dict, np.ndarray]:
+    """From (source, bucket) of each block: counts with ``first``, the blocks of the source in the buckets before; each source's row in ``ends``; where
+    each shard's run of each source ends."""
     counts = blocks.groupBy("source", "bucket").count()
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(counts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"), "block-counts")
@@ -180,19 +176,115 @@ def draw_blocks(mixed: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
     if len(quotas) * n_shards > 50_000_000:
         raise ValueError("too many sources times shards; mix fewer shards at a time")
     ends = np.cumsum(splitting_tree([r.q for r in quotas], n_shards, seed), axis=0).T if quotas else np.zeros((0, n_shards))
-    at = {r._s: k for k, r in enumerate(quotas)}
+    return counts, {r._s: k for k, r in enumerate(quotas)}, ends
+
+
+def _by_source(names: pd.Series) -> Iterator[tuple[str | None, np.ndarray]]:
+    names = names.astype(object).where(names.notna(), None)
+    for name in names.unique():
+        yield name, (names.isna() if name is None else names == name).to_numpy()
+
+
+def draw_blocks(mixed: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
+    """From ``mix``'s rows the blocks (doc_id, source, copy, shard, position_key, and size if given); sorting a shard by position_key shuffles it.
+
+    The quotas (one count per source and shard) lie on the driver: n_shards is a parameter, and sources times shards must stay
+    under 50 million."""
+    own = ["doc_id", "source", *[c for c in mixed.columns if c == "size"]]
+    blocks = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*own, "copy", F.md5(F.concat_ws(":", F.lit(str(seed)), "copy", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"))
+    blocks = cut(blocks.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int")), "blocks")
+    counts, at, ends = _deal(blocks, n_shards, seed)
     given = blocks.sparkSession.sparkContext.broadcast((at, ends))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ends = given.value
         for rows in parts:
             shard = np.zeros(len(rows), dtype=np.int64)
-            names = rows["source"].astype(object).where(rows["source"].notna(), None)
-            for name in names.unique():
-                own = names.isna() if name is None else names == name
-                shard[own] = np.searchsorted(ends[at[name]], rows.loc[own, "place"], side="right")
-            yield rows[["doc_id", "source", "copy"]].assign(shard=shard, position_key=rows["local"])
+            for name, those in _by_source(rows["source"]):
+                shard[those] = np.searchsorted(ends[at[name]], rows.loc[those, "place"], side="right")
+            yield rows[[*own, "copy"]].assign(shard=shard, position_key=rows["local"])
 
     inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "copy")) - 1
-    ranked = blocks.withColumn("inside", inside).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).select("doc_id", "source", "copy", (F.col("first") + F.col("inside")).alias("place"), F.xxhash64(F.lit(seed), "key").alias("local"))
-    return ranked.mapInPandas(place, "doc_id bigint, source string, copy bigint, shard bigint, position_key bigint")
+    ranked = blocks.withColumn("inside", inside).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).select(*own, "copy", (F.col("first") + F.col("inside")).alias("place"), F.xxhash64(F.lit(seed), "key").alias("local"))
+    return ranked.mapInPandas(place, ", ".join(f"{c} {'string' if c == 'source' else 'bigint'}" for c in [*own, "copy", "shard", "position_key"]))
+
+
+def mix_drawn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, n_shards: int | None = None) -> DataFrame:
+    """``mix``, with ``copies`` counted in the shards' drawn blocks."""
+    mixed = cut(mix(df, id_col, text_col, source_col, weights, max_repeats, seed), "mixed")
+    shards = n_shards or shards_for(mixed.groupBy("source").agg(F.first("target").alias("target")))
+    drawn = draw_blocks(mixed, shards, seed).groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]).agg(F.count("*").alias("_drawn"))
+    alike = mixed.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]).agg(F.count("*").alias("_rows"))
+    each = alike.join(drawn.select(*[F.col(f"_{c}").alias(f"_d_{c}") for c in ("doc_id", "source", "size")], "_drawn"), (F.col("_doc_id").eqNullSafe(F.col("_d_doc_id"))) & F.col("_source").eqNullSafe(F.col("_d_source")) & (F.col("_size") == F.col("_d_size")), "left")
+    each = each.select("_doc_id", "_source", "_size", F.expr("coalesce(_drawn, 0) div _rows").alias("_copies"))
+    out = mixed.drop("copies").join(each, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"))
+
+
+def _shards_of(blocks: DataFrame, n_shards: int, seed: int) -> tuple[dict, bool]:
+    """From (source, key) of each block, by source: the distinct keys at which runs begin and the shards from there on; the keys whose blocks
+    are parted, with the place of the first; the run's ends.  And whether any are parted."""
+    blocks = cut(blocks.withColumn("bucket", F.shiftright("key", 48)), "blocks")
+    counts, at, ends = _deal(blocks, n_shards, seed)
+    given = blocks.sparkSession.sparkContext.broadcast((at, ends))
+
+    def at_ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ends = given.value
+        for rows in parts:
+            keep = np.zeros(len(rows), dtype=bool)
+            for name, those in _by_source(rows["_s"]):
+                own, low = ends[at[name]], rows.loc[those, "first"]
+                keep[those] = np.searchsorted(own, low + rows.loc[those, "count"], side="left") > np.searchsorted(own, low, side="left")
+            yield rows[keep]
+
+    near = counts.mapInPandas(at_ends, counts.schema)
+    inside = Window.partitionBy("source", "bucket").orderBy("key")
+    ranked = blocks.join(near, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).select(F.col("source").alias("_s"), "key", (F.col("first") + F.row_number().over(inside) - 1).alias("first"), (F.col("first") + F.rank().over(inside) - 1).alias("begin"), F.lit(1).cast("bigint").alias("count"))
+    runs = ranked.mapInPandas(at_ends, ranked.schema).toPandas()
+    out = {name: ([], [], {}, ends[k]) for name, k in at.items()}
+    for name, those in _by_source(runs["_s"]):
+        own = runs[those].sort_values("first")
+        keys, shards, parted, e = out[name]
+        for key, place, begin in zip(own["key"], own["first"], own["begin"]):
+            if begin < place:
+                parted[int(key)] = int(begin)
+            keys.append(int(key))
+            shards.append(int(np.searchsorted(e, place, side="right")))
+    return {name: (np.array(k, dtype=np.int64), np.array([int(np.searchsorted(e, 0, side="right")), *s], dtype=np.int64), p, e) for name, (k, s, p, e) in out.items()}, any(p for _, _, p, _ in out.values())
+
+
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, n_shards: int | None = None) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, dealt to shards: partition k is shard k in its shuffled order."""
+    doc_id, spark = df[id_col].cast("bigint"), df.sparkSession
+    thin = cut(_thin(df, id_col, text_col, source_col, seed, F.xxhash64(df[text_col]).alias("hash")), "sizes")
+    sources, picks = plan(thin, weights, max_repeats)
+    shards = n_shards or shards_for(sources)
+
+    def copied(rows: DataFrame) -> DataFrame:
+        taken = _with_copies(rows, sources, picks).filter("_copies > 0")
+        return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).withColumn("_block", F.xxhash64(F.lit(seed), "_copy", "_id", "_hash"))
+
+    bare = copied(thin.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("key").alias("_key"), F.col("hash").alias("_hash")))
+    runs, any_parted = _shards_of(bare.select(F.col("_source").alias("source"), F.col("_block").alias("key")), shards, seed)
+    given = spark.sparkContext.broadcast(runs)
+
+    @F.pandas_udf("bigint")
+    def shard_of(source: pd.Series, key: pd.Series, nth: pd.Series) -> pd.Series:
+        """-1: parted, and not numbered yet."""
+        out = np.zeros(len(key), dtype=np.int64)
+        for name, those in _by_source(source):
+            keys, after, parted, ends = given.value[name]
+            own, n = key[those].to_numpy(), nth[those].to_numpy()
+            shard = after[np.searchsorted(keys, own, side="right")]
+            for k in np.flatnonzero(np.isin(own, list(parted))) if parted else ():
+                shard[k] = np.searchsorted(ends, parted[int(own[k])] + n[k], side="right") if n[k] >= 0 else -1
+            out[those] = shard
+        return pd.Series(out)
+
+    rows = copied(df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), doc_id.alias("_id"), df[source_col].cast("string").alias("_source"), size_of(df[text_col]).alias("_size"), order_key(doc_id, seed).alias("_key"), F.xxhash64(df[text_col]).alias("_hash")))
+    rows = rows.select("_row", "_source", "_block")
+    placed = rows.withColumn("_shard", shard_of("_source", "_block", F.lit(-1).cast("bigint")))
+    if any_parted:
+        numbered = placed.filter("_shard < 0").withColumn("_nth", (F.row_number().over(Window.partitionBy("_source", "_block").orderBy(F.lit(0))) - 1).cast("bigint"))
+        placed = placed.filter("_shard >= 0").unionByName(numbered.withColumn("_shard", shard_of("_source", "_block", "_nth")).drop("_nth"))
+    return placed.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions(F.xxhash64(F.lit(seed), "_block"), "_block").select("_row.*")

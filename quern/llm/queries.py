@@ -11,7 +11,7 @@ from quern.llm import html, pii
 from quern.llm.chat import format_conversations, parsed, under_mask
 from quern.llm.common import new_path, table
 from quern.llm.dac import read_files, write_files
-from quern.llm.mixing import mix
+from quern.llm.mixing import mix_drawn
 from quern.llm.oracle import ORACLE_SQL  # noqa: F401
 from quern.llm.packing import pack
 from quern.llm.quality import quality_scores
@@ -38,7 +38,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
+    mixed = mix_drawn(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

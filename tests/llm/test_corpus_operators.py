@@ -194,6 +194,22 @@ def test_splitting_tree(spark):
     assert mixing.draw_blocks(mixed.limit(0), 3).count() == 0
 
 
+def test_documents_are_dealt(spark):
+    """The shards hold the tree's counts of each source, in an order that is neither the input's nor has copies side by side; repeated rows are parted exactly."""
+    rows = [(k, f"w{k} " * 9, "a" if k % 3 else None) for k in range(600)] + [(7000, "same words here", "b")] * 90 + [(None, f"none {k}", "b") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    taken = sum((Counter({(r.doc_id, r.source): r.copies}) for r in mixing.mix(df).collect()), Counter())
+    out = mixing.mix_documents(df, n_shards=7)
+    dealt = [(r.shard, r.doc_id, r.source) for r in out.withColumn("shard", F.spark_partition_id()).collect()]
+    assert Counter((d, s) for _, d, s in dealt) == taken
+    quotas = [sum(n for (_, s), n in taken.items() if s == name) for name in ("a", "b", None)]
+    tree = mixing.splitting_tree(quotas, 7)
+    assert [[sum(k == shard and s == name for k, _, s in dealt) for name in ("a", "b", None)] for shard in range(7)] == tree.tolist()
+    ids = [d for k, d, s in dealt if s != "b"]
+    assert sum(a == b for a, b in zip(ids, ids[1:])) < 10 and 0.4 < np.mean([a < b for a, b in zip(ids, ids[1:])]) < 0.6
+    assert sorted(map(str, mixing.mix_drawn(df, n_shards=7).collect())) == sorted(map(str, mixing.mix(df).collect()))
+
+
 # --- search
 
 
