@@ -5,10 +5,11 @@ at ``max_repeats`` times its source's size and the excess is reshared.  This is
 size per weight the capped ones are a prefix, found with running sums over one row per source.
 
 Quotas.  A block is one document in one pass over its source.  A source's target gives whole passes and a rest.  The rest
-is taken in a permuted order (by md5 of seed and id): buckets of that order that fit are taken whole, and in the one
-bucket where the rest runs out documents are taken first-fit in order.  So a source's words miss its target by less than
-any document passed over there, and only one bucket of a source (about 256 documents, at most its 65,536th part) is
-ever walked.
+is taken in a permuted order (by md5 of seed and id): buckets of that order that fit are taken whole, and in the
+bucket where the rest runs out (about 256 documents, at most the source's 65,536th part) documents are taken first-fit in order.
+``mix_documents`` sets documents larger than the rest aside before that, and goes on behind that bucket with what is left until
+nothing there fits.  ``mix`` walks only one bucket a source, as the SQL of op3 says: a document larger than the rest in it, or before
+it, ends the source there, and what the later buckets could still give is missed.
 
 Shards.  ``splitting_tree`` halves the sources' block quotas again and again with multivariate-hypergeometric draws until each
 output shard has its exact counts; ``draw_blocks`` gives each shard a disjoint run of each source's permuted blocks and orders
@@ -83,32 +84,55 @@ def _first_fit(rows: pd.DataFrame) -> pd.DataFrame:
     for size in rows["unit"]:
         taken.append(fits := 0 < size <= left)
         left -= size * fits
-    return rows.loc[taken, ["source", "doc_id", "size"]]
+    return rows.loc[taken, ["source", "doc_id", "size", "unit"]]
 
 
-def plan(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """From (doc_id, source, size, key): the sources with ``whole``, the number of buckets that the rest takes whole, and the
-    picks (source, doc_id, size) of the bucket after those."""
+def plan(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, fill: bool = False) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, source, size, key): the sources with ``runs``, the (low, high, most) of buckets in which the rest takes all documents of
+    up to ``most`` words, and the picks (source, doc_id, size) of the buckets between.  Without ``fill`` there is one run, of documents
+    of any size, and one bucket of picks."""
     sources = cut(source_targets(thin, weights, max_repeats), "targets")
-    placed = thin.join(sources.select(F.col("source").alias("_s"), "buckets", "rest"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", bucket_of(F.col("key"), F.col("buckets")))
-    sums = placed.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
+    placed = thin.join(sources.select(F.col("source").alias("_s"), "buckets"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", bucket_of(F.col("key"), F.col("buckets"))).drop("_s", "buckets")
+    if fill:
+        placed = cut(placed, "placed")
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = cut(sums.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > F.col("rest")).groupBy(F.col("source").alias("_b")).agg(F.min("bucket").alias("edge"), F.min_by(F.col("rest") - F.col("upto") + F.col("words"), "bucket").alias("left")), "edges")
-    sources = cut(sources.join(split, F.col("source").eqNullSafe(F.col("_b")), "left").select("source", "source_size", "n", "buckets", "target", "passes", "rest", F.coalesce("edge", "buckets").alias("whole"), F.coalesce("left", F.lit(0)).alias("left")), "quotas")
-    edge = sources.filter("left > 0").select(F.col("source").alias("_e"), "whole", "left")
-    walked = placed.join(edge, F.col("source").eqNullSafe(F.col("_e")) & (F.col("bucket") == F.col("whole"))).groupBy("source", "doc_id", "key", "size", "left").agg(F.sum("size").alias("unit"))
-    picks = cut(walked.groupBy("source").applyInPandas(_first_fit, "source string, doc_id bigint, size bigint"), "picks")
-    return sources, picks
+    at = sources.select(F.col("source").alias("_s"), F.lit(0).cast("bigint").alias("low"), F.col("rest").alias("left"))
+    runs, picks = [], []
+    while True:
+        able = placed.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") >= F.col("low"))).drop("_s")
+        able = able.filter("size > 0 and size <= left") if fill else able
+        sums = able.groupBy("source", "bucket", "low", "left").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+        over = F.col("upto") > F.col("left")
+        edges = cut(sums.groupBy("source", "low", F.col("left").alias("most")).agg(F.min(F.when(over, F.col("bucket"))).alias("edge"), (F.col("most") - F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0))).alias("left")), "edges")
+        runs.append(edges)
+        edge = edges.filter("edge is not null and left > 0").select(F.col("source").alias("_e"), "edge", F.col("left").alias("room"))
+        walked = able.drop("left").join(edge, F.col("source").eqNullSafe(F.col("_e")) & (F.col("bucket") == F.col("edge"))).groupBy("source", "doc_id", "key", "size", F.col("room").alias("left")).agg(F.sum("size").alias("unit"))
+        picks.append(cut(walked.groupBy("source").applyInPandas(_first_fit, "source string, doc_id bigint, size bigint, unit bigint"), "picks"))
+        if not fill:
+            break
+        used = picks[-1].groupBy(F.col("source").alias("_u")).agg(F.sum("unit").alias("used"))
+        at = edge.join(used, F.col("_e").eqNullSafe(F.col("_u")), "left").select(F.col("_e").alias("_s"), (F.col("edge") + 1).alias("low"), (F.col("room") - F.coalesce("used", F.lit(0))).alias("left")).filter("left > 0")
+        at = cut(at, "left")
+        if at.isEmpty():
+            break
+    all_runs, all_picks = runs[0], picks[0]
+    for r, p in zip(runs[1:], picks[1:]):
+        all_runs, all_picks = all_runs.unionByName(r), all_picks.unionByName(p)
+    most = F.col("most") if fill else F.lit(2**62)
+    taken = all_runs.groupBy(F.col("source").alias("_b")).agg(F.collect_list(F.struct("low", F.coalesce("edge", F.lit(MAX_BUCKETS)).cast("bigint").alias("high"), most.alias("most"))).alias("runs"))
+    sources = cut(sources.join(taken, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_b"), "quotas")
+    return sources, all_picks.drop("unit")
 
 
 def _with_copies(rows: DataFrame, sources: DataFrame, picks: DataFrame) -> DataFrame:
     """Adds _copies, _source_size and _target to rows that have _id, _source, _size and _key."""
-    s = sources.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "buckets", "passes", "whole")
+    s = sources.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "buckets", "passes", "runs")
     p = picks.select(F.col("source").alias("_ps"), F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.lit(1).alias("_picked"))
     out = rows.join(s, F.col("_source").eqNullSafe(F.col("_s"))).join(p, F.col("_source").eqNullSafe(F.col("_ps")) & F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_size") == F.col("_psize")), "left")
-    chosen = (bucket_of(F.col("_key"), F.col("buckets")) < F.col("whole")) | F.col("_picked").isNotNull()
+    bucket = bucket_of(F.col("_key"), F.col("buckets"))
+    chosen = F.coalesce(F.exists("runs", lambda r: (bucket >= r["low"]) & (bucket < r["high"]) & (F.col("_size") <= r["most"])), F.lit(False)) | F.col("_picked").isNotNull()
     copies = F.when(F.col("_size") > 0, F.col("passes") + chosen.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return out.withColumn("_copies", copies).drop("_s", "buckets", "passes", "whole", "_ps", "_pid", "_psize", "_picked")
+    return out.withColumn("_copies", copies).drop("_s", "buckets", "passes", "runs", "_ps", "_pid", "_psize", "_picked")
 
 
 def _thin(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
@@ -257,7 +281,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``df``, each as often as the mix takes it, dealt to shards: partition k is shard k in its shuffled order."""
     doc_id, spark = df[id_col].cast("bigint"), df.sparkSession
     thin = cut(_thin(df, id_col, text_col, source_col, seed, F.xxhash64(df[text_col]).alias("hash")), "sizes")
-    sources, picks = plan(thin, weights, max_repeats)
+    sources, picks = plan(thin, weights, max_repeats, fill=True)
     shards = n_shards or shards_for(sources)
 
     def copied(rows: DataFrame) -> DataFrame:

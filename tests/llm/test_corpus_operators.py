@@ -1,5 +1,6 @@
 """Near-duplicates, mixing, search, token files, packing, extraction and the pipeline against brute force."""
 
+import hashlib
 import html as entities
 import math
 import random
@@ -194,6 +195,19 @@ def test_splitting_tree(spark):
     assert mixing.draw_blocks(mixed.limit(0), 3).count() == 0
 
 
+def test_rest_goes_on_behind_a_long_document(spark):
+    """A document larger than the rest, in the first bucket, keeps none of the later buckets' documents out; what is missed is below the smallest of those left."""
+    size = {k: 350 + k % 100 for k in range(1500)}
+    total = sum(size.values())
+    early = next(k for k in range(-1, -1000, -1) if hashlib.md5(f"{mixing.SEED}:{k}".encode()).hexdigest() < "1")
+    rows = [*((k, "w " * n, "z") for k, n in size.items()), (early, "w " * (total * 6 // 5), "z"), (9000, "w " * total, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    got = Counter(r.doc_id for r in mixing.mix_documents(df).collect())
+    rest = int(2 / 7 * (2 * total + total * 6 // 5) + 0.5)
+    assert got[9000] == 2 and got[early] == 0 and max(got[k] for k in size) == 1
+    assert 0 <= rest - sum(n for k, n in size.items() if got[k]) < min(n for k, n in size.items() if not got[k])
+
+
 def test_documents_are_dealt(spark):
     """The shards hold the tree's counts of each source, in an order that is neither the input's nor has copies side by side; repeated rows are parted exactly."""
     rows = [(k, f"w{k} " * 9, "a" if k % 3 else None) for k in range(600)] + [(7000, "same words here", "b")] * 90 + [(None, f"none {k}", "b") for k in range(40)]
