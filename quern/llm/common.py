@@ -9,7 +9,10 @@ from quern.sources.storage import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The named table.  One of fewer splits than the cluster has cores is small, and is spread over them; larger ones are read as they lie."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -29,27 +29,23 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS
 """
 
 OP3 = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
- s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY 1),
- s1 AS (SELECT *, source_size * {mixing.MAX_REPEATS} AS cap, {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight, greatest(1, least({mixing.MAX_BUCKETS}, n // {mixing.BUCKET_ROWS})) AS buckets FROM s0),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+ s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+ s1 AS (SELECT *, source_size * {mixing.MAX_REPEATS} AS cap, {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM s0),
  s2 AS (SELECT *, sum(source_size) OVER () AS total, sum(cap) OVER upto - cap AS before, sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_on
    FROM s1 WINDOW upto AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
  s3 AS (SELECT *, (total - before)::DOUBLE * weight >= cap::DOUBLE * weight_on AS capped FROM s2),
  s4 AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE weight * ((total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0)) END AS target FROM s3),
  s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS passes FROM s4),
  s6 AS (SELECT *, floor(target + 0.5)::BIGINT - passes * source_size AS rest FROM s5),
- placed AS (SELECT d.*, s6.source_size, s6.target, s6.passes, s6.rest, ('0x' || substr(key, 1, 4))::BIGINT * buckets // 65536 AS bucket FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
- sums AS (SELECT source, bucket, rest, sum(size)::BIGINT AS words FROM placed GROUP BY ALL),
- upto AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM sums),
- edge AS (SELECT source, min(bucket) AS edge, arg_min(rest - upto + words, bucket)::BIGINT AS room FROM upto WHERE upto > rest GROUP BY 1),
- unit AS (SELECT p.source, p.doc_id, p.key, p.size, sum(p.size)::BIGINT AS words, room FROM placed p JOIN edge ON p.source IS NOT DISTINCT FROM edge.source AND p.bucket = edge.edge WHERE room > 0 GROUP BY ALL),
- queue AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, size) AS k FROM unit),
- walk AS (SELECT DISTINCT source, 0::BIGINT AS k, room, NULL::BIGINT AS doc_id, NULL::BIGINT AS size, false AS picked FROM queue
-   UNION ALL SELECT q.source, q.k, CASE WHEN q.words > 0 AND q.words <= w.room THEN w.room - q.words ELSE w.room END, q.doc_id, q.size, q.words > 0 AND q.words <= w.room
+ unit AS (SELECT source, key, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+ queue AS (SELECT source, key, words, row_number() OVER (PARTITION BY source ORDER BY key) AS k FROM unit),
+ walk AS (SELECT source, 0::BIGINT AS k, rest AS room, NULL::VARCHAR AS key, false AS picked FROM s6
+   UNION ALL SELECT q.source, q.k, CASE WHEN q.words <= w.room THEN w.room - q.words ELSE w.room END, q.key, q.words <= w.room
    FROM walk w JOIN queue q ON w.source IS NOT DISTINCT FROM q.source AND q.k = w.k + 1)
-SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN (p.passes + (coalesce(p.bucket < e.edge, true) OR w.picked IS NOT NULL)::BIGINT) * p.size ELSE 0 END AS taken
-FROM placed p LEFT JOIN edge e ON p.source IS NOT DISTINCT FROM e.source
- LEFT JOIN walk w ON w.picked AND p.source IS NOT DISTINCT FROM w.source AND p.doc_id IS NOT DISTINCT FROM w.doc_id AND p.size = w.size
+SELECT d.doc_id, d.size, s6.source_size, s6.target, CASE WHEN d.size > 0 THEN (s6.passes + (w.picked IS NOT NULL)::BIGINT) * d.size ELSE 0 END AS taken
+FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
+ LEFT JOIN walk w ON w.picked AND d.source IS NOT DISTINCT FROM w.source AND d.key = w.key
 """
 
 OP4 = r"""

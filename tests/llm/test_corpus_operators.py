@@ -161,7 +161,7 @@ def test_mix(spark, documents, rows, empty):
     got = mixing.mix(documents).collect()
     assert len(got) == len(rows)
     check_mix(rows, got)
-    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(documents.repartition(5)).collect()))
+    assert Counter(map(str, got)) == Counter(map(str, mixing.mix(documents.repartition(5)).collect()))
     mixed = mixing.mix_documents(documents)
     assert mixed.columns == documents.columns
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if v})
@@ -180,26 +180,57 @@ def test_caps():
     assert slow_targets({"a": 1, "b": 100, "c": 100}) == {"a": 3.0, "b": pytest.approx(132), "c": pytest.approx(66)}
 
 
-def test_splitting_tree(spark):
-    counts = mixing.splitting_tree([1000, 50, 0, 7], 8)
-    assert counts.sum(axis=0).tolist() == [1000, 50, 0, 7] and set(counts.sum(axis=1)) <= {132, 133}
-    means = np.mean([mixing.splitting_tree([1000, 50], 4, seed)[0] for seed in range(300)], axis=0)
-    assert means == pytest.approx([250, 12.5], rel=0.03)
-    big = mixing._hypergeometric(np.random.default_rng(0), 5_000_000_000, 5_000_000_000, 1_000_000)
-    assert 490_000 < big < 510_000
-    mixed = spark.createDataFrame([(k, f"s{k % 3}" if k % 5 else None, k % 4) for k in range(200)], "doc_id long, source string, copies long")
-    blocks = mixing.draw_blocks(mixed, 5).collect()
-    assert Counter((r.doc_id, r.copy) for r in blocks) == Counter((k, c) for k in range(200) for c in range(1, k % 4 + 1))
-    sizes = Counter(r.shard for r in blocks)
+def test_draws_are_exact():
+    """Counts, margins, and the law of a multivariate-hypergeometric draw, at sizes below and beyond a billion."""
+    rng = np.random.default_rng(3)
+    counts = np.array([1000, 50, 0, 7])
+    for n in (0, 1, 31, 33, 500, 1057):
+        got = mixing.draw(rng, counts, n)
+        assert got.sum() == n and (got >= 0).all() and (got <= counts).all()
+    many = np.array([mixing.draw(rng, np.array([60, 30, 10]), 40) for _ in range(4000)])
+    assert many.mean(axis=0) == pytest.approx([24, 12, 4], rel=0.03)
+    assert many.var(axis=0) == pytest.approx([40 * p * (1 - p) * 60 / 99 for p in (0.6, 0.3, 0.1)], rel=0.12)
+    big = np.array([mixing.draw(rng, np.array([5 * 10**12, 5 * 10**12]), 10**12)[0] for _ in range(300)])
+    assert big.mean() == pytest.approx(5e11, rel=1e-5) and big.std() == pytest.approx((1e12 * 0.25 * 0.9) ** 0.5, rel=0.2)
+
+
+def test_splitting_tree():
+    capacities = np.array([132, 132, 132, 133, 132, 132, 132, 132])
+    counts = dict(mixing.splitting_tree([1000, 50, 0, 7], capacities))
+    assert list(counts) == list(range(8)) and sum(counts.values()).tolist() == [1000, 50, 0, 7] and [int(c.sum()) for c in counts.values()] == capacities.tolist()
+    means = np.mean([next(mixing.splitting_tree([1000, 50], np.array([262, 263, 262, 263]), (seed,)))[1] for seed in range(300)], axis=0)
+    assert means == pytest.approx([249.5, 12.5], rel=0.04)
+    # groups of sources: their counts add up to the shards' sizes
+    totals = np.array([400, 0, 90, 510, 3])
+    whole = sum(own := [mixing.group_capacities(totals, g, 7) for g in range(5)])
+    assert [int(x.sum()) for x in own] == totals.tolist() and whole.sum() == 1003 and whole.max() - whole.min() <= 1
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 6])
+def test_deal(spark, monkeypatch, cells):
+    """Exact counts by shard in one tree or in several groups', with a key of a third of all blocks; the runs don't depend on the input's order."""
+    monkeypatch.setattr(mixing, "TREE_CELLS", cells)
+    rng = random.Random(8)
+    rows = [(f"s{k % 3}" if k % 5 else None, rng.getrandbits(63) - (1 << 62)) for k in range(2000)] + [("s1", 77)] * 1000
+    df = spark.createDataFrame(rows, "_source string, _block long")
+    quotas, table = mixing.deal(df.select(F.col("_source").alias("source"), F.col("_block").alias("block")), 5, 4)
+    got = mixing._with_shards(df.repartition(3), quotas, table).collect()
+    again = mixing._with_shards(df.repartition(7, "_block"), quotas, table).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and Counter((r._source, r._block) for r in got) == Counter(rows)
+    sizes = Counter(r._shard for r in got)
     assert set(sizes) == set(range(5)) and max(sizes.values()) - min(sizes.values()) <= 1
-    assert mixing.draw_blocks(mixed.limit(0), 3).count() == 0
+    if cells > 6:
+        names = ["s0", "s1", "s2", None]
+        tree = mixing.splitting_tree([sum(s == n for s, _ in rows) for n in names], mixing.group_capacities(np.array([len(rows)]), 0, 5), (mixing.SEED, 2, 0))
+        assert {k: c.tolist() for k, c in tree} == {k: [sum(r._shard == k and r._source == n for r in got) for n in names] for k in range(5)}
 
 
 def test_rest_goes_on_behind_a_long_document(spark):
     """A document larger than the rest, in the first bucket, keeps none of the later buckets' documents out; what is missed is below the smallest of those left."""
     size = {k: 350 + k % 100 for k in range(1500)}
     total = sum(size.values())
-    early = next(k for k in range(-1, -1000, -1) if hashlib.md5(f"{mixing.SEED}:{k}".encode()).hexdigest() < "1")
+    long = hashlib.md5(("w " * (total * 6 // 5)).encode()).hexdigest()
+    early = next(k for k in range(-1, -1000, -1) if hashlib.md5(f"{mixing.SEED}:{k}:{long}".encode()).hexdigest() < "1")
     rows = [*((k, "w " * n, "z") for k, n in size.items()), (early, "w " * (total * 6 // 5), "z"), (9000, "w " * total, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
     got = Counter(r.doc_id for r in mixing.mix_documents(df).collect())
@@ -217,11 +248,11 @@ def test_documents_are_dealt(spark):
     dealt = [(r.shard, r.doc_id, r.source) for r in out.withColumn("shard", F.spark_partition_id()).collect()]
     assert Counter((d, s) for _, d, s in dealt) == taken
     quotas = [sum(n for (_, s), n in taken.items() if s == name) for name in ("a", "b", None)]
-    tree = mixing.splitting_tree(quotas, 7)
-    assert [[sum(k == shard and s == name for k, _, s in dealt) for name in ("a", "b", None)] for shard in range(7)] == tree.tolist()
+    tree = dict(mixing.splitting_tree(quotas, mixing.group_capacities(np.array([sum(quotas)]), 0, 7), (mixing.SEED, 2, 0)))
+    assert [[sum(k == shard and s == name for k, _, s in dealt) for name in ("a", "b", None)] for shard in range(7)] == [tree[k].tolist() for k in range(7)]
     ids = [d for k, d, s in dealt if s != "b"]
     assert sum(a == b for a, b in zip(ids, ids[1:])) < 10 and 0.4 < np.mean([a < b for a, b in zip(ids, ids[1:])]) < 0.6
-    assert sorted(map(str, mixing.mix_drawn(df, n_shards=7).collect())) == sorted(map(str, mixing.mix(df).collect()))
+    assert {k for r in mixing.mix(df, n_shards=7).collect() for k in r.shards} == set(range(7))
 
 
 # --- search
