@@ -1,6 +1,7 @@
 """Quality rules, personal data, secrets and chat formatting against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -12,7 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import chat, pii, secrets
-from quern.llm.quality import Bands, filter_quality, quality_scores, repeated_window_words, score
+from quern.llm.quality import Bands, filter_quality, fit_bands, labelled_ratios, quality_scores, repeated_window_words, score
+
+from .conftest import prose
 
 
 def slow_quality(text):
@@ -55,13 +58,48 @@ def test_quality_rows(documents, rows, empty):
 
 def test_quality_bands():
     rng = np.random.default_rng(0)
-    z = zstandard.ZstdCompressor(level=3)
+    z = zstandard.ZstdCompressor(level=9)
     import base64
 
     noise = " ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(200)).encode()
     assert score(noise, Bands(), z).reason == "incompressible"
     varied = "\n".join(f"{k} of the very same long line of words again and again and again" for k in range(300)).encode()
     assert not score(varied, Bands(), z).kept
+    # every byte lies in a chunk; a repetitive part of two thirds is seen in the chunks, and a short tail counts
+    assert [len(c) for c in Bands().chunks(b"x" * 2500)] == [1024] * 3 and not list(Bands().chunks(b"x" * 1024))
+    assert b"".join(Bands().chunks(bytes(range(256)) * 8)) == bytes(range(256)) * 8
+    knots = Bands().limits
+    for (n0, low0, high0), (n1, low1, high1) in zip(knots, knots[1:]):
+        low, high = Bands().band(int((n0 * n1) ** 0.5))
+        assert low1 < low < low0 and high1 < high < high0
+    assert Bands().band(1 << 22)[0] < knots[-1][1] and Bands().band(10) == (knots[0][1], float("inf"))
+
+
+def test_quality_method_rejects_what_the_base_rule_keeps(spark):
+    """Symbols after each word, or bars between them: no window repeats, yet the ratio is under the band of the length."""
+    words = prose(3, 3000).split()
+    texts = {"clean": " ".join(words), "symbols": " ".join(w + "#$%&"[k % 4] * 3 for k, w in enumerate(words)), "bars": " | ".join(words), "part": " ".join(words[:400]) + "\n" + " | ".join(f"{w}!!" for w in words)}
+    rows = [(k, name, text) for k, (name, text) in enumerate((n, t[:size]) for size in (3000, 9000) for n, t in texts.items())]
+    got = {(r.doc_id, r.kept, r.reason) for r in quality_scores(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    assert got == {(k, name == "clean", "" if name == "clean" else "repetitive") for k, name, _ in rows if (k, name) != (3, "part")} | {g for g in got if g[0] == 3}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no labelled table")
+def test_quality_held_out(spark):
+    """Bands fitted on half of the labelled texts, judged on the other half among those that the base rule keeps."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in labelled_ratios(docs, labels, rows=3000).collect() if not r.base_failed]
+    assert len(rows) < 3000
+    mine, others = rows[::2], rows[1::2]
+    bands = fit_bands([(r.bytes, r.ratio, r.chunks) for r in mine if r.quality == 1])
+
+    def rejected(r):
+        low, high = bands.band(r.bytes)
+        bad = sum(not bands.chunk_band[0] <= c <= bands.chunk_band[1] for c in r.chunks)
+        return not low <= r.ratio <= high or bad > max(1, bands.max_bad_chunks * len(r.chunks))
+
+    clean, junk = ([rejected(r) for r in others if r.quality == q] for q in (1, 0))
+    assert np.mean(clean) < 0.02 and np.mean(junk) > 0.75 and sum(junk) / (sum(junk) + sum(clean)) > 0.8
 
 
 # --- personal data
