@@ -65,19 +65,20 @@ _KINDS = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.EXTRA]
 _SUM = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)::BIGINT"
 
 OP5 = rf"""
-WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || chr(10) || coalesce(lang, '') AS repo, coalesce(text, '') AS text FROM documents),
  raw AS ({" UNION ALL ".join(f"SELECT *, {k} AS rank, regexp_extract_all(text, {_quoted(p)}) AS m, regexp_split_to_array(text, {_quoted(p)}) AS gap FROM t WHERE regexp_matches(text, {_quoted(p)})" for k, p in enumerate(_KINDS))}),
- hit AS (SELECT doc_id, source, lang, rank, m[i] AS v, {_SUM("gap[1:i]")} + {_SUM("m[1:i - 1]")} AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)),
- span AS (SELECT *, s + length(v) AS e FROM hit WHERE CASE rank
-   WHEN 0 THEN length(regexp_extract(v, {_quoted(secrets.ASSIGN)}, 2)) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24
-   ELSE NOT regexp_matches(v, '{secrets.PLACEHOLDER}') AND len(list_distinct(string_split(v, ''))) >= 10
-     AND (regexp_matches(v, '^(gh[pousr]_|xox[abprs]-|AIza|[sr]k_live_|eyJ|-----BEGIN)') OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')) END),
- extra AS (SELECT * FROM span x WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM span b WHERE b.rank < 3 AND b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
- own AS (SELECT v FROM extra GROUP BY v HAVING count(DISTINCT coalesce(source, '')) <= {secrets.MAX_OWNERS}),
- kept AS (SELECT doc_id, rank, s, e FROM span WHERE rank < 3 UNION ALL SELECT doc_id, rank, s, e FROM extra WHERE v IN (SELECT v FROM own)),
- said AS (SELECT *, {list(secrets.KINDS)}[rank + 1] || ':' || s || ':' || e AS said FROM kept)
+ hit AS (SELECT doc_id, owner, repo, rank, m[i] AS whole, {_SUM("gap[1:i]")} + {_SUM("m[1:i - 1]")} AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)),
+ span AS (SELECT *, s + length(whole) AS e, CASE rank WHEN 0 THEN regexp_extract(whole, {_quoted(secrets.ASSIGN)}, 2) ELSE whole END AS v FROM hit WHERE CASE rank
+   WHEN 0 THEN length(regexp_extract(whole, {_quoted(secrets.ASSIGN)}, 2)) >= 6 WHEN 1 THEN length(whole) >= 20 WHEN 2 THEN length(whole) >= 24 ELSE true END),
+ own AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM span GROUP BY v),
+ seen AS (SELECT span.*, owners, repos, owners <= {secrets.MAX_OWNERS} AND repos <= {secrets.MAX_REPOS} AS live FROM span JOIN own USING (v)),
+ kept AS (SELECT * FROM seen x WHERE rank < 3 OR live AND len(list_distinct(string_split(v, ''))) >= {secrets.LEAST_SIGNS}
+   AND (regexp_matches(v, '{secrets.PREFIXED}') OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))
+   AND NOT EXISTS (SELECT 1 FROM seen b WHERE b.rank < 3 AND b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
+ said AS (SELECT *, {list(secrets.KINDS)}[rank + 1] || ':' || s || ':' || e AS said, owners || ':' || repos || ':' || CASE WHEN live THEN 'live' ELSE 'copied' END AS verdict FROM kept)
 SELECT t.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
- sha256(coalesce(string_agg(said, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, rank), '') AS spans
+ sha256(coalesce(string_agg(said, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, rank), '') AS spans,
+ count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, coalesce(string_agg(verdict, ',' ORDER BY s, rank), '') AS verdicts
 FROM t LEFT JOIN said USING (doc_id) GROUP BY t.doc_id
 """
 

@@ -15,7 +15,7 @@ from quern.llm.mixing import mix
 from quern.llm.oracle import ORACLE_SQL  # noqa: F401
 from quern.llm.packing import pack
 from quern.llm.quality import quality_scores
-from quern.llm.secrets import count_kind, secret_spans, written
+from quern.llm.secrets import count_kind, secret_spans, verdicts, written
 from quern.llm.simhash import simhash_groups
 from quern.llm.topk import top_k
 
@@ -50,7 +50,8 @@ def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     kinds = [count_kind("base", rank).alias(name) for rank, name in enumerate(("n_assign", "n_access", "n_hex"))]
-    return found.select("doc_id", *kinds, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    judged = [F.size(F.filter("spans", lambda s, live=live: s["live"] == live)).cast("bigint").alias(name) for name, live in (("n_live", True), ("n_copied", False))]
+    return found.select("doc_id", *kinds, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), *judged, verdicts("spans").alias("verdicts"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

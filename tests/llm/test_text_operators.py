@@ -188,15 +188,29 @@ def test_secret_base(spark, documents, rows, empty):
 
 
 def test_ownership(spark):
-    live, example, fake = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cD3fG6", "ghp_" + "zZ9yX8wV7uT6sR5qP4oN3mL2kJ1hG0fE9dC8", "ghp_" + "EXAMPLEexampleEXAMPLEexample0123456789"
-    rows = [(0, f"a {live} b", "s0", "en"), (1, f"é {live}", "s0", "de"), *[(10 + k, f"see {example}", f"s{k}", "en") for k in range(5)], (20, fake, "s1", "en"), (21, None, None, None), (0, f"a {live} b", "s0", "en")]
+    """Verdicts of both kinds for further candidates and for base ones; a value is counted wherever it stands."""
+    live, example, dull = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cD3fG6", "ghp_" + "zZ9yX8wV7uT6sR5qP4oN3mL2kJ1hG0fE9dC8", "-" * 40
+    spread = "Q7w" + "E9rT2yU4iO6pA8sD1fG3hJ5kL0zX" + "cV"
+    rows = [(0, f"a {live} b", "s0", "en"), (1, f"é {live}", "s0", "de"), *[(10 + k, f"see {example}", f"s{k}", "en") for k in range(5)], (20, dull, "s1", "en"), (21, None, None, None), (0, f"a {live} b", "s0", "en")]
+    rows += [(30 + k, "token: abcdef99", f"s{k}", "en") for k in range(3)] + [(40, "token: mine4711", "s1", "en"), (41, "password=mine4711", "s2", "en"), (42, f"bare {spread}", "s9", "en")]
+    rows += [(50 + k, f"token={spread}", "s9", f"l{k}") for k in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    found = secrets.secret_spans(df).select("doc_id", secrets.written("spans").alias("s")).collect()
-    assert Counter(map(tuple, found)) == Counter([(0, "live:2:42"), (0, "live:2:42"), (1, "live:2:42"), *[(10 + k, "") for k in range(5)], (20, ""), (21, "")])
+    found = secrets.secret_spans(df).select("doc_id", secrets.written("spans").alias("s"), secrets.verdicts("spans").alias("v")).collect()
+    want = [(0, "live:2:42", "1:2:live")] * 2 + [(1, "live:2:42", "1:2:live"), *[(10 + k, "", "") for k in range(5)], (20, "", ""), (21, "", "")]
+    want += [(30 + k, "assign:0:15", "3:3:copied") for k in range(3)] + [(40, "assign:0:15", "2:2:live"), (41, "assign:0:17", "2:2:live"), (42, "", "")] + [(50 + k, "assign:0:39", "1:6:copied") for k in range(5)]
+    assert Counter(map(tuple, found)) == Counter(want)
     masked = secrets.redact(df)
     assert masked.columns == df.columns
     out = {(r.doc_id, r.text) for r in masked.collect()}
-    assert {(0, "a [SECRET] b"), (1, "é [SECRET]"), (10, f"see {example}"), (20, fake), (21, None)} <= out and masked.count() == len(rows)
+    assert {(0, "a [SECRET] b"), (1, "é [SECRET]"), (10, f"see {example}"), (20, dull), (21, None), (30, "[COPIED SECRET]"), (40, "[SECRET]")} <= out and masked.count() == len(rows)
+
+
+def test_many_matches_and_overlaps(spark):
+    """Positions over several blocks of running sums, and masks of overlapping spans."""
+    text = "é token = '" + "0123456789abcdef" * 2 + "', " + " ".join(f"ü secret={k:06d}x" for k in range(300))
+    df = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    assert [(s.start, s["rank"], s.end) for s in secrets.secret_spans(df).first().base] == slow_secrets(text)
+    assert secrets.redact(df).first().text == "é [SECRET]', " + " ".join(["ü [SECRET]"] * 300)
 
 
 def test_secrets_stay_native(documents):
