@@ -33,7 +33,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(k) for k in pii.KINDS])
     written_ = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    # a lambda's second parameter would be the place
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(written_("base"), 256).alias("base_sha256"), written_("spans").alias("spans"))
 
 
@@ -50,7 +52,7 @@ def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     kinds = [count_kind("base", rank).alias(name) for rank, name in enumerate(("n_assign", "n_access", "n_hex"))]
-    judged = [F.size(F.filter("spans", lambda s, live=live: s["live"] == live)).cast("bigint").alias(name) for name, live in (("n_live", True), ("n_copied", False))]
+    judged = [F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("bigint").alias("n_copied")]
     return found.select("doc_id", *kinds, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), *judged, verdicts("spans").alias("verdicts"))
 
 
