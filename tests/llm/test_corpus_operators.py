@@ -277,23 +277,48 @@ def slow_top(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("shard_docs", [8192, 7])
-def test_top_k(spark, documents, rows, shard_docs):
-    """Shards of seven documents merge to the same as one."""
-    got = Counter((r.query_id, r.rank, r.doc_id, round(r.score, 4)) for r in topk.top_k(documents, 5, 10, shard_docs=shard_docs).collect())
+@pytest.mark.parametrize("shard_docs, span_shards", [(8192, 16), (7, 2)])
+def test_top_k(spark, documents, rows, shard_docs, span_shards):
+    """Shards of seven documents, two a span, merge to the same as one."""
+    got = Counter((r.query_id, r.rank, r.doc_id, round(r.score, 4)) for r in topk.top_k(documents, 5, 10, shard_docs=shard_docs, span_shards=span_shards).collect())
     assert got == slow_top(rows, 5, 10)
 
 
+def pruning_texts():
+    """Two languages with few words in common."""
+    rng = random.Random(2)
+    common, rare = ([[f"{x}{w}{k}" for k in range(n)] for x in "ab"] for w, n in (("c", 30), ("r", 400)))
+    return [" ".join(rng.choices(common[k % 2], k=rng.randint(3, 40)) + rng.choices(rare[k % 2], k=rng.randint(0, 6)) + rng.choices(["x", "y"], k=k % 3)) for k in range(500)]
+
+
 def test_top_k_prunes_exactly(spark):
     """Enough documents for many blocks and carried thresholds; ties from copies go to the smaller ids."""
-    rng = random.Random(2)
-    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(400)]
-    texts = [" ".join(rng.choices(common, k=rng.randint(3, 40)) + rng.choices(rare, k=rng.randint(0, 6))) for _ in range(500)]
+    texts = pruning_texts()
     rows = spark.createDataFrame([(k, texts[k % 450]) for k in range(900)], "doc_id long, text string").repartition(3).cache()
     got = Counter((r.query_id, r.rank, r.doc_id, round(r.score, 4)) for r in topk.top_k(rows, 4, 30, shard_docs=200).collect())
     assert got == slow_top(rows.collect(), 4, 30)
 
 
+def test_pivot_and_blocks_skip(monkeypatch):
+    """Postings before the pivot aren't walked, blocks are skipped, and few of a shard's documents are scored."""
+    monkeypatch.setattr(topk, "FREQUENT", 0.3)
+    monkeypatch.setattr(topk, "PIVOT", 0.3)
+    texts = pruning_texts() * 4
+    shards, df = [], Counter(t for text in texts for t in set(text.split()))
+    for at in range(0, 2000, 500):
+        docs = topk.Builder()
+        for k, text in enumerate(texts[at : at + 500]):
+            docs.add(at + k, text)
+        shards.append(topk.Shard(topk.build_shard(docs), 25.0))
+    asked = [(q, xxhash.xxh3_64_intdigest(t), math.log(1 + (2000 - df[t] + 0.5) / (df[t] + 0.5))) for q in range(20) for t in dict.fromkeys(texts[q].split())]
+    queries = topk.Queries(*(np.array([a[j] for a in asked], kind) for j, kind in enumerate((np.int64, np.uint64, np.float64))), 20, 4)
+    for s in shards:
+        queries.search(s)
+    assert 0 < queries.walked < queries.postings and queries.blocks_in < 0.9 * queries.blocks and queries.scored < 0.1 * 20 * 2000
+    for place, q in enumerate(queries.order):
+        assert queries.found[place][1].tolist() == [q, q + 500, q + 1000, q + 1500]
+
+
 def test_top_k_empty(empty):
     assert topk.top_k(empty).count() == 0
 
