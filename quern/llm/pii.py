@@ -1,15 +1,17 @@
 r"""Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions for what they miss.
 
 The network (embedding, one LSTM each way, a linear layer, a linear-chain CRF over O and B/I of four kinds) is written and
-trained in numpy from labelled spans.  Without spans of one's own, ``labelled_examples`` writes ``TRAIN_EXAMPLES`` of them (the
-documented bound) from templates, with look-alikes (dates, prices, versions, serial numbers) left unlabelled.
+trained in numpy from labelled spans.  ``labelled_examples`` writes ``TRAIN_EXAMPLES`` of them (the documented bound): personal data in
+many groupings and separators, with look-alikes (dates, prices, versions, serial numbers, hashes) left unlabelled.  ``python -m quern.llm.pii``
+trains on them and writes ``pii_model.npz``, which ``default_model`` loads; the same seed gives the same model.
 
-Whole texts are read in windows of 64 characters that overlap by half, so a span of up to 32 characters lies whole in
-one of them.  Each window is decoded (Viterbi); the windows' spans are reconciled over the whole text by weighted interval
-scheduling, a span's weight being its summed margin over O.  A method's span must hold a digit or an @, keep its kind's rules and
-not touch a base span.  So a window without digit and @ can't contribute and isn't decoded, which changes no result.
+Whole texts are read in windows of 128 characters that overlap by half, so a span of fewer than 64 characters lies whole in
+one of them.  Each window is decoded (Viterbi).  A longer span touches a window's edge: that window grows, by doubling, until the span ends inside it.
+The windows' spans are reconciled over the whole text by weighted interval scheduling, a span's weight being its summed margin over O.
+A method's span must hold a digit or an @, pass its kind's check (a card's digits by Luhn, a phone's number of digits, an address's numbers, one @
+with a dotted host) and not touch a base span.  So a window without digit and @ can't contribute and isn't decoded, which changes no result.
 
-One Arrow pass, no shuffle; the model (a few kB) travels with the function.  Texts of one Arrow batch are decoded together, windows
+One Arrow pass, no shuffle; the model (60 kB) travels with the function.  Texts of one Arrow batch are decoded together, windows
 in blocks of ``BLOCK``, so memory follows the batch.
 
 Defined cases: a null text is empty; offsets are code points, end exclusive; broken UTF-8 is replaced; null ids are kept;
@@ -18,6 +20,8 @@ repeated rows have equal results; an empty table gives an empty one; further col
 
 from __future__ import annotations
 
+import ipaddress
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -29,10 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, BLOCK = 64, 32, 2048
-TRAIN_EXAMPLES, EPOCHS, SEED = 1536, 8, 11
+WINDOW, STRIDE, BLOCK = 128, 64, 1024
+TRAIN_EXAMPLES, EPOCHS, SEED = 6144, 13, 11
 TAGS = 1 + 2 * len(KINDS)
-_DIM, _HIDDEN = 12, 16
+_DIM, _HIDDEN = 16, 28
+MODEL = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_model.npz")
 _FORBIDDEN = -1e4
 
 _LABELS = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -235,78 +240,106 @@ def labelled_examples(n: int = TRAIN_EXAMPLES, seed: int = SEED) -> list[tuple[s
     """Windows of invented prose with labelled personal data and unlabelled look-alikes."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
+    some = lambda low, high: int(rng.integers(low, high + 1))
     digits = lambda k: "".join(str(int(d)) for d in rng.integers(0, 10, k))
-    letters = "etaoinshrdlucmfwypvbgkéüñ"
+    letters, plain_letters = "etaoinshrdlucmfwypvbgkéüñ", "etaoinshrdlucmfwypvbgk"
 
     def word() -> str:
-        w = "".join(pick(letters) for _ in range(int(rng.integers(1, 9))))
-        return w.capitalize() if rng.random() < 0.15 else w
+        w = "".join(pick(letters) for _ in range(some(1, 9)))
+        return w.upper() if rng.random() < 0.05 else w.capitalize() if rng.random() < 0.15 else w
 
-    def plain() -> str:
-        return "".join(pick("etaoinshrdlucmfwypvbgk") for _ in range(int(rng.integers(2, 8))))
+    def plain(low: int = 2, high: int = 8) -> str:
+        w = "".join(pick(plain_letters) for _ in range(some(low, high)))
+        return w.capitalize() if rng.random() < 0.1 else w
+
+    def grouped(groups: tuple[int, ...], sep: str) -> str:
+        return sep.join(digits(k) for k in groups)
 
     def card() -> str:
-        body = digits(15)
-        last = next(d for d in "0123456789" if luhn(body + d))
-        sep = pick([" ", "-", ".", "  ", "", "/"])
-        return sep.join((body + last)[k : k + 4] for k in range(0, 16, 4))
+        groups = pick([(4, 4, 4, 4), (4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5), (16,), (15,), (4, 4, 4, 4, 3), (6, 10)])
+        return grouped(groups, pick([" ", "-", ".", "  ", "/", "_", " - ", "\u00a0", "\u2013"]))
 
     def phone() -> str:
+        sep = pick([" ", "-", ".", " ", "-", "/", "\u00a0", " - ", "\u2013"])
         return pick([
-            lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}",
-            lambda: f"00{digits(2)} {digits(2)} {digits(7)}", lambda: f"+{digits(2)} {digits(3)} {digits(6)}", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(11)}", lambda: f"0{digits(2)}/{digits(8)}",
+            lambda: f"({digits(3)}) {grouped((3, 4), sep)}", lambda: f"({digits(3)}){grouped((3, 4), sep)}", lambda: grouped((3, 3, 4), sep), lambda: grouped((3, 3, 4), sep), lambda: f"0{grouped((3, 3, 4), sep)}", lambda: f"0{grouped((2, 3, 4), sep)}", lambda: f"0{grouped((3, 6), sep)}",
+            lambda: f"0{grouped((1, 2, 2, 2, 2), sep)}", lambda: f"00{grouped((2, 2, 7), sep)}", lambda: f"00{grouped((2, 3, 3, 3), sep)}", lambda: f"00{grouped((2, 1, 2, 2, 2, 2), sep)}", lambda: f"+{digits(2)} {grouped((3, 6), sep)}", lambda: f"+1 ({digits(3)}) {grouped((3, 4), sep)}", lambda: f"+{digits(11)}",
+            lambda: f"0{digits(2)}/{digits(8)}", lambda: f"0{grouped((4, 6), sep)}", lambda: f"(0{digits(some(2, 4))}) {grouped((3, 4), sep)}", lambda: f"1{sep}{grouped((3, 3, 4), sep)}",
         ])()
 
     def email() -> str:
-        local = pick([plain, lambda: plain() + "." + plain(), lambda: plain() + digits(2)])()
-        host = plain() + pick([".com", ".org", ".net", ".de", ".example.com"])
-        return local + pick(["@", "@", " @ ", "@ ", " @"]) + host
+        name = pick([plain, lambda: plain() + pick("._-") + plain(), lambda: plain() + digits(2), lambda: plain(1, 1) + "." + plain(3, 10), lambda: plain(6, 20) + pick("._+") + plain(6, 20)])()
+        dot = pick([".", ".", ".", " . "])
+        host = dot.join([*[plain(2, 10) for _ in range(some(1, 3))], pick(["com", "org", "net", "de", "edu", "fr", "io"])])
+        return name + pick(["@", " @ ", " @ ", "@ ", " @", "  @  "]) + host
 
     def ip() -> str:
-        return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
+        numbers = [str(int(x)) for x in rng.integers(0, 256, 4)]
+        six = lambda k: ":".join("".join(pick("0123456789abcdef") for _ in range(some(1, 4))) for _ in range(k))
+        return pick([lambda: ".".join(numbers), lambda: " . ".join(numbers), lambda: " . ".join(numbers), lambda: ". ".join(numbers), lambda: six(8), lambda: six(some(1, 4)) + "::" + six(some(1, 3))])()
 
     def other() -> str:
-        year = int(rng.integers(1900, 2030))
+        year = some(1900, 2030)
+        hexed = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
         return pick([
-            lambda: f"{year}-{digits(2)}-{digits(2)}", lambda: f"{year}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}", lambda: digits(int(rng.integers(1, 13))), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
-            lambda: f"{digits(2)}/{digits(2)}/{year}", lambda: f"{year}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"@{plain()}", lambda: f"{digits(1)}-{digits(1)}", lambda: "".join(pick("0123456789abcdef") for _ in range(20)),
-            lambda: f"{digits(1)}, {digits(1)}, {digits(1)}, {digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{year}-{year + 4}", lambda: f"{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", lambda: " ".join(digits(int(rng.integers(1, 5))) for _ in range(5)),
+            lambda: f"{year}-{digits(2)}-{digits(2)}", lambda: f"{year}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}", lambda: digits(some(1, 9)), lambda: digits(some(10, 14)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
+            lambda: f"{digits(2)}/{digits(2)}/{year}", lambda: f"{digits(2)}.{digits(2)}.{year}", lambda: f"{year}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"@{plain()}", lambda: f"{digits(1)}-{digits(1)}", lambda: hexed(20), lambda: f'token = "{hexed(40)}"', lambda: hexed(40),
+            lambda: f"{digits(1)}, {digits(1)}, {digits(1)}, {digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{year}-{year + 4}", lambda: f"{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", lambda: " ".join(digits(some(1, 5)) for _ in range(5)),
+            lambda: f"{digits(1)}.{digits(1)}.", lambda: f"{digits(2)}.{digits(3)}.{digits(3)}", lambda: f"{digits(3)}-{digits(2)}", lambda: f"{digits(1)} @ ${digits(2)}", lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: f"No. {digits(6)}", lambda: f"{digits(2)},{digits(3)},{digits(3)}", lambda: f"{digits(2)} x {digits(2)} x {digits(3)}", lambda: plain() + digits(some(1, 4)),
         ])()
 
     makers = (email, ip, card, phone)
     out = []
     while len(out) < n:
         text, spans = "", []
-        while len(text) < WINDOW:
-            draw = rng.random()
-            if draw < 0.14:
-                kind = int(rng.integers(len(KINDS)))
+        while len(text) < WINDOW + 40:
+            at = rng.random()
+            if at < 0.2:
+                kind = pick((0, 1, 2, 2, 3, 3, 3, 3))
                 value = makers[kind]()
+                text += pick(["", "", "", "(", '"', "<", ": "])
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value
             else:
-                text += other() if draw < 0.34 else word()
-            text += pick([" ", " ", " ", ", ", ". ", "\n", ": ", ") "])
-        start = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+                text += other() if at < 0.38 else word()
+            text += pick([" ", " ", " ", " ", ", ", ". ", "\n", ": ", ") ", "; ", "!! ", '" ', " | "])
+        start = some(0, max(0, len(text) - WINDOW))
         out.append((text[start : start + WINDOW], [(k, max(a - start, 0), min(b - start, WINDOW)) for k, a, b in spans if b > start and a < start + WINDOW]))
     return out
 
 
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return train(labelled_examples())
+    model = Model()
+    with np.load(MODEL) as stored:
+        model.p = {k: stored[k].astype(np.float32) for k in model.p}
+    return model
+
+
+_ADDRESS = re.compile(r"[0-9]{1,3}(?:[\s.]+[0-9]{1,3}){3}")
 
 
 def _valid(kind: int, value: str) -> bool:
-    """A method's span keeps its kind's rules; a phone without + is grouped and isn't a date or a plain list of numbers."""
+    """The checks of a kind: the network says where a span lies, these whether its value can be what it says."""
     digits = _SPACES.sub("", value)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", value))
+        local, _, host = value.partition("@")
+        return value.count("@") == 1 and local.strip() != "" and host.strip() != "" and "." in host.strip()[1:-1]
     if kind == 1:
-        return False  # the base pattern finds every address
+        if ":" in value:
+            try:
+                return ipaddress.ip_address(value.strip()).version == 6
+            except ValueError:
+                return False
+        return bool(_ADDRESS.fullmatch(value)) and value.count(".") == 3 and all(int(x) <= 255 for x in re.findall("[0-9]+", value))
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9]{4}(?P<s>\D{0,2})[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}", value))
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\([0-9]{2,4}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|0[0-9]{2,4}[ /][0-9]{3,4}[ -]?[0-9]{3,5}|00[0-9]{1,3} [0-9]{1,4}[ -][0-9 -]{4,10}[0-9]", value))
+        return 13 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in value) and not (len(digits) == 13 and digits[:3] in ("978", "979"))  # books
+    return 9 <= len(digits) <= 15 and not any(c.isalpha() for c in value)
+
+
+def _may_grow(kind: int, piece: str) -> bool:
+    """Whether a span that goes on beyond its window can still pass its kind's check."""
+    return len(_SPACES.sub("", piece)) <= 19 if kind in (2, 3) else piece.count("@") <= 1 and len(piece.split()) <= 8
 
 
 def _reconcile(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -328,6 +361,20 @@ def _reconcile(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out
 
 
+def _decoded(tags: np.ndarray, margin: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(begin, end, kind, summed margin over O) of a window's spans."""
+    t, n = 0, len(tags)
+    while t < n:
+        if tags[t] % 2:  # B
+            e = t + 1
+            while e < n and tags[e] == tags[t] + 1:
+                e += 1
+            yield t, e, int(tags[t]) // 2, float(margin[t:e].sum())
+            t = e
+        else:
+            t += 1
+
+
 def method_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int]]]:
     """For each text the network's reconciled spans (kind, start, end)."""
     places: list[tuple[int, int]] = []
@@ -338,26 +385,35 @@ def method_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, in
             starts.update((last, last - STRIDE) if last else (last,))
         places += [(k, s) for s in sorted(starts)]
     found: list[list] = [[] for _ in texts]
+    longer: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def take(k: int, start: int, width: int, tags: np.ndarray, margin: np.ndarray) -> None:
+        text = texts[k]
+        for t, e, kind, weight in _decoded(tags, margin):
+            a, b = start + t, start + e
+            if t == 0 and a > 0 or e == width and b < len(text):
+                # a shorter span lies whole in another window
+                if e - t >= STRIDE - 1 and _may_grow(kind, text[a:b]):
+                    longer[k, a] = (a, b)
+            elif weight > 0:
+                value = text[a:b]
+                a, b = a + len(value) - len(value.lstrip()), b - len(value) + len(value.rstrip())
+                if _valid(kind, text[a:b]) and _ANCHOR.search(text, a, b) and not (text[max(a - 1, 0) : a].isalnum() or text[b : b + 1].isalnum()):
+                    found[k].append((weight, a, b, kind))
+
     for at in range(0, len(places), BLOCK):
         block = places[at : at + BLOCK]
         tags, margin = model.decode(np.stack([_ids(texts[k][s : s + WINDOW]) for k, s in block]))
         for row in np.flatnonzero((tags > 0).any(axis=1)):
-            (k, start), own = block[row], tags[row]
-            t = 0
-            while t < WINDOW:
-                if own[t] % 2:  # B
-                    e = t + 1
-                    while e < WINDOW and own[e] == own[t] + 1:
-                        e += 1
-                    a, b, kind = start + t, start + e, int(own[t]) // 2
-                    value = texts[k][a:b]
-                    weight = float(margin[row, t:e].sum())
-                    # a span that ends with its window goes on in the next one, which sees it whole
-                    if (e < WINDOW or b >= len(texts[k])) and (t > 0 or a == 0) and weight > 0 and _valid(kind, value) and not (texts[k][max(a - 1, 0) : a].isalnum() or texts[k][b : b + 1].isalnum()):
-                        found[k].append((weight, a, b, kind))
-                    t = e
-                else:
-                    t += 1
+            take(*block[row], WINDOW, tags[row], margin[row])
+    wide = WINDOW
+    while longer:
+        again, wide = longer, 2 * wide
+        longer = {}
+        for (k, _), (a, b) in again.items():
+            start = max(0, (a + b) // 2 - wide // 2)
+            tags, margin = model.decode(_ids(texts[k][start : start + wide], wide)[None])
+            take(k, start, wide, tags[0], margin[0])
     return [_reconcile(f) for f in found]
 
 
@@ -385,3 +441,8 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = "array<struct<kind:int,start:bigint,end:bigint>>"
     return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id bigint, base {kind}, spans {kind}")
+
+
+if __name__ == "__main__":
+    made = train(labelled_examples(), batch=128)
+    np.savez_compressed(MODEL, **{k: v.astype(np.float16) for k, v in made.p.items()})
