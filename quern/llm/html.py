@@ -6,7 +6,7 @@ parts, option), unclosed elements, cut-off tags.  Block elements are nodes; the
 Features of a node: its kind, attribute tokens (words of class, id and role, by groups of meaning), the same of its ancestors, depth,
 text and link density of its subtree, its siblings' number and mean length, its place in the page.  The trees (logistic loss, depth
 ``DEPTH``, ``TREES`` of them) are fitted in numpy on ``TRAIN_PAGES`` invented pages (the documented bound) whose blocks are labelled as they are
-written.
+written.  ``python -m quern.llm.html`` does that and writes ``html_model.npz``, which ``default_model`` loads.
 
 Decoding.  A node's label says whether its subtree holds main text; a node with it needs a parent with it.  The labelling of
 the largest total log-probability under that rule comes from one pass up and one down the tree; text comes from the leaves
@@ -22,6 +22,7 @@ an empty table gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,16 +32,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES, TREES, DEPTH, RATE, BINS, SEED = 450, 40, 4, 0.3, 32, 5
+TRAIN_PAGES, TREES, DEPTH, RATE, BINS, SEED = 900, 60, 4, 0.25, 32, 5
 GROUP = 256
+MODEL = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_model.npz")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s/=])|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript iframe template svg math object canvas audio video noframes xmp".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input link meta base".split())
+#: Their contents aren't text of the page.  Without an end tag those of the first kind hold the rest of the page, as in browsers; of the others only the start tag goes.
+_RAW = frozenset("script style iframe noframes xmp".split())
+_APART = frozenset("title textarea noscript template svg canvas audio video annotation annotation-xml".split())
+_INLINE = frozenset("math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mmultiscripts mprescripts none mtable mtr mtd semantics a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input link meta base".split())
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW | _APART}
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 _SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "tfoot": ("table",), "option": ("select",), "optgroup": ("select",), "body": ("html",)}
@@ -142,13 +147,15 @@ def parse(source: str) -> Page:
                     close(k)
                     break
             continue
-        if tag in _RAW:
+        if tag in _RAW or tag in _APART:
             page.tags[stack[-1][1]] += 1
-            if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
+            if attributes.rstrip().endswith("/") and tag == "svg":
                 continue
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            end = _END[tag].search(source, at)
             if end is None:
-                break
+                if tag in _RAW:
+                    break
+                continue
             at = source.find(">", end.end())
             at = n if at < 0 else at + 1
             continue
@@ -369,6 +376,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[Page, n
         if not head and not body:
             head = f"<h1>{title}</h1>"
         inner = head + "".join(body)
+        if chance(0.1):
+            return inner  # right below the body or the page's wrapper
         wrap = pick(["article", "article", "article", "main", "div", "div", "section"])
         bare = chance(0.2) if wrap in ("div", "section") else chance(0.7)
         attributes = "" if bare else name("content", "post", "entry-content", "article-body", "story", "main-text", "blog-post")
@@ -437,10 +446,14 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[Page, n
     return out
 
 
+def fit_pages(pages: list[tuple[Page, np.ndarray]]) -> Boosted:
+    return fit(np.concatenate([features(p) for p, _ in pages]), np.concatenate([y for _, y in pages]))
+
+
 @lru_cache(maxsize=1)
 def default_model() -> Boosted:
-    pages = labelled_pages()
-    return fit(np.concatenate([features(p) for p, _ in pages]), np.concatenate([y for _, y in pages]))
+    with np.load(MODEL) as stored:
+        return Boosted(float(stored["base"]), stored["feature"].astype(np.int64), stored["limit"], stored["value"])
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Boosted | None = None) -> DataFrame:
@@ -455,3 +468,8 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.encode("utf-8", "replace").decode() for t in texts_of(pages, given)], pa.string())], names=["page_id", "url", "text"])
 
     return df.select(df[id_col].cast("bigint").alias("page_id"), df[url_col].cast("string").alias("url"), df[html_col].alias("html")).mapInArrow(run, "page_id bigint, url string, text string")
+
+
+if __name__ == "__main__":
+    made = fit_pages(labelled_pages())
+    np.savez_compressed(MODEL, base=made.base, feature=made.feature.astype(np.int16), limit=made.limit, value=made.value)

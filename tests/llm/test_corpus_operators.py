@@ -444,6 +444,61 @@ def test_main_text(spark, trees):
     assert entities.unescape("&am") == "&am"
 
 
+#: Written by hand: (page, its main text).
+PAGES = {
+    'news': (
+        '<html><head><title>x</title><script>var a=1</script></head><body class="home"><div id="top-bar"><a href="/login">Log in</a> <a href="/sub">Subscribe</a></div><header class="site-header"><a href="/">The Daily</a><nav><a href="/w">World</a><a href="/b">Business</a></nav></header>\n<div class="container"><div class="row"><div class="col-8"><article class="story"><h1>Council approves bridge</h1><p class="byline">By Ann Lee</p><p>The city council voted on Tuesday to build the long awaited bridge over the river, ending years of argument.</p><figure><img src=a.jpg><figcaption>The site of the new bridge.</figcaption></figure><p>Work starts in spring and will take two years, the mayor said after the vote.</p><div class="ad-slot advert">Buy shoes now, half price!</div><h2>What it costs</h2><p>The bridge will cost 40 million, a third of it paid by the state.</p></article></div>\n<aside class="col-4 sidebar"><h3>Most read</h3><ol><li><a href=1>Storm hits coast</a><li><a href=2>Team wins cup</a></ol></aside></div></div><section id="comments"><h3>3 comments</h3><div class="comment"><b>joe</b><p>About time, we have waited for this bridge for so long.</p></div></section><footer class="site-footer"><p>&copy; 2024 The Daily. All rights reserved.</p></footer></body></html>',
+        'Council approves bridge\n\nBy Ann Lee\n\nThe city council voted on Tuesday to build the long awaited bridge over the river, ending years of argument.\n\nThe site of the new bridge.\n\nWork starts in spring and will take two years, the mayor said after the vote.\n\nWhat it costs\n\nThe bridge will cost 40 million, a third of it paid by the state.',
+    ),
+    'blog': (
+        '<!doctype html><title>b</title><body><div id=wrapper><div class="header"><h1><a href="/">My garden blog</a></h1></div><ul class="menu"><li><a href=/a>About<li><a href=/c>Contact</ul><div id="content"><div class="post"><h2>Tomatoes in May</h2><p>Last week I planted the first tomatoes<br>behind the shed, where the sun is warm.<p>They need water every day and a stick to climb on.<ul><li>Choose a sunny place.<li>Water in the morning.</ul><p>More on this next month.</div></div><div class="sidebar widget"><h3>Archive</h3><ul><li><a href=/1>April</a><li><a href=/2>March</a></ul></div><div class="footer">Powered by GardenPress</div></div>',
+        'Tomatoes in May\n\nLast week I planted the first tomatoes behind the shed, where the sun is warm.\n\nThey need water every day and a stick to climb on.\n\nChoose a sunny place.\n\nWater in the morning.\n\nMore on this next month.',
+    ),
+    'wiki': (
+        '<html><body><nav id="site-navigation"><ul><li><a href=/r>Random page</a></li><li><a href=/h>Help</a></li></ul></nav><main id="content"><h1>Energy</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as known from physics lessons, and it is never lost.</p><table><tr><th>Unit</th><th>Value</th></tr><tr><td>Joule</td><td>1</td></tr></table><p>It is measured in joules, after the man who <a href=/j>studied</a> heat.</p></main><footer>Text is free to use under a licence.</footer></body></html>',
+        'Energy\n\nEnergy is E=mc2 as known from physics lessons, and it is never lost.\n\nUnit\n\nValue\n\nJoule\n\n1\n\nIt is measured in joules, after the man who studied heat.',
+    ),
+    'broken': (
+        '<body><div class=navbar><a href=/>Start</a><a href=/x>News</a></div><svg class=icon><path d="M0 0"><div class=article><h1>An open svg</h1><p>The text behind an svg that nobody closed is still part of the page and must not be lost.</p><video src=x.mp4><p>Nor what follows a video without an end.</p></div><div class=cookie-consent>We use cookies. <button>OK</button></div></body>',
+        'An open svg\n\nThe text behind an svg that nobody closed is still part of the page and must not be lost.\n\nNor what follows a video without an end.',
+    ),
+    'forum': (
+        '<html><body><header><div class=logo>Boards</div><form class=search><input><button>Find</button></form></header><div class="breadcrumbs"><a href=/>Home</a> &gt; <a href=/t>Travel</a></div><section class="entry-content"><h1>Three days in Porto</h1><p>We arrived on a rainy evening and walked down to the river, where the lights of the cellars were shining.</p><blockquote><p>You have to try the soup, said the driver.</p></blockquote><p>So we did, and it was the best of the whole journey.</p></section><div class="share-buttons social"><a href=#>Share</a><a href=#>Tweet</a></div><div class="related"><h3>Related</h3><ul><li><a href=/2>Lisbon by tram</a></li></ul></div><div class="newsletter">Get our letter every week. <form><input type=email><button>Sign up</button></form></div><footer><a href=/i>Imprint</a> <a href=/p>Privacy</a></footer></body></html>',
+        'Three days in Porto\n\nWe arrived on a rainy evening and walked down to the river, where the lights of the cellars were shining.\n\nYou have to try the soup, said the driver.\n\nSo we did, and it was the best of the whole journey.',
+    ),
+    'bare': (
+        '<html><body><h1>Notes on bees</h1><p>Bees fly up to five kilometres to find flowers, and they tell the others where these are by dancing.</p><p>A hive holds fifty thousand of them in summer.</p></body></html>',
+        'Notes on bees\n\nBees fly up to five kilometres to find flowers, and they tell the others where these are by dancing.\n\nA hive holds fifty thousand of them in summer.',
+    ),
+    'german': (
+        '<html lang=de><body><div role="banner"><a href="/">Stadtblatt</a></div><div role="navigation"><a href="/p">Politik</a><a href="/s">Sport</a></div><div role="main"><article><header><h1>Br&uuml;cke gesperrt</h1></header><p>Die Br&uuml;cke &uuml;ber den Fluss bleibt bis Montag gesperrt, weil ein Tr&auml;ger ersetzt werden muss.</p><p>Autofahrer m&uuml;ssen einen Umweg von zehn Kilometern nehmen.</p></article></div><div role="contentinfo">Impressum und Datenschutz</div></body></html>',
+        'Brücke gesperrt\n\nDie Brücke über den Fluss bleibt bis Montag gesperrt, weil ein Träger ersetzt werden muss.\n\nAutofahrer müssen einen Umweg von zehn Kilometern nehmen.',
+    ),
+    'recipe': (
+        '<html><body><nav><a href=/>Recipes</a> <a href=/v>Vegan</a></nav><main><article><h1>Lentil soup</h1><h2>You need</h2><ul><li>200 g lentils</li><li>1 onion</li><li>2 carrots</li></ul><h2>How to</h2><ol><li>Cut the onion and fry it.</li><li>Add lentils, carrots and water.</li><li>Cook for half an hour.</li></ol></article></main><aside class="promo">Our cook book is out now. Order it today.</aside><div class="comments-area"><ol class="comment-list"><li class="comment"><p>Lovely soup, my children asked for more of it.</p></li></ol></div><footer>&copy; Soups</footer></body></html>',
+        'Lentil soup\n\nYou need\n\n200 g lentils\n\n1 onion\n\n2 carrots\n\nHow to\n\nCut the onion and fry it.\n\nAdd lentils, carrots and water.\n\nCook for half an hour.',
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_by_hand(trees, name):
+    source, want = PAGES[name]
+    assert html.texts_of([source], trees) == [want]
+
+
+def test_unclosed_and_long_pages(spark, trees):
+    parsed = lambda s: [t for t in html.parse(s).text if t]
+    for tag in ("svg", "canvas", "video", "template", "title", "textarea", "noscript"):
+        assert parsed(f"<p>a<{tag} x=1><p>b") == ["a", "b"] and parsed(f"<p>a<{tag}>gone</{tag}>b") == ["ab"]
+    assert parsed("x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> y<object>o</object>") == ["x a+b y", "o"]
+    article = "<article><h1>Long</h1>" + "".join(f"<p>Paragraph {k} says what it has to say about the matter, and no more.</p>" for k in range(4000)) + "</article>"
+    page = f"<body><nav><a href=/>Home</a></nav>{article}<footer>&copy; us</footer></body>"
+    df = spark.createDataFrame([(1, "u", page)] * 3 + [(None, None, page[:50])], "page_id long, url string, html string")
+    out = html.main_text(df, model=trees).collect()
+    assert len(out) == 4 and len({r.text for r in out if r.page_id == 1}) == 1 and out[0].text.count("\n\n") == 4000
+
+
 # --- the pipeline
 
 

@@ -309,22 +309,50 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+LAYOUT_CASES = [
+    ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"system":"be kind","id":7}', "messages", [("system", "be kind"), ("user", "q"), ("assistant", "a")]),
+    ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "from and value", [("user", "q"), ("assistant", "a")]),
+    ('{"instruction":"do","input":"this","output":"done"}', "instruction", [("user", "do\n\nthis"), ("assistant", "done")]),
+    ('{"instruction":"do","output":"done"}', "instruction", [("user", "do"), ("assistant", "done")]),
+    ('{"prompt":"p","completion":"c"}', "prompt and completion", [("user", "p"), ("assistant", "c")]),
+    ('{"prompt":"p","response":"c","system":"s"}', "prompt and response", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+    ('{"question":"q","answer":"a","context":"c"}', "question and answer", [("user", "c\n\nq"), ("assistant", "a")]),
+    ('{"other":1}', "unknown", None), ("not json", "unknown", None), (None, "unknown", None), ("[]", "unknown", None), ('{"messages":"none"}', "unknown", None),
+    # fields of two layouts: the list comes first; paths come from all elements, which may differ
+    ('{"prompt":"p","messages":[{"role":"user","content":"p"},{"role":"assistant","content":"c"}]}', "messages", [("user", "p"), ("assistant", "c")]),
+    ('{"instruction":"do","context":"here","response":"done","category":"x"}', "instruction and response", [("user", "do\n\nhere"), ("assistant", "done")]),
+    ('{"messages":[]}', "other messages", []), ('{"messages":[{"role":"user"}]}', "other messages", [("user", "")]),
+    ('{"messages":[{"role":"user"},{"role":"assistant","content":"a"}]}', "messages", [("user", ""), ("assistant", "a")]),
+    ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","text":"a"},{"from":"human","value":"more"}]}', "messages", [("user", "q"), ("assistant", "a"), ("user", "more")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"look "},{"type":"image","url":"u"},{"type":"text","text":"here"}]},{"role":"assistant","content":"a"}]}', "messages", [("user", "look here"), ("assistant", "a")]),
+    ('{"messages":[{"role":"user","content":["one ","two"]},{"role":"assistant","content":null}]}', "messages", [("user", "one two"), ("assistant", "")]),
+]
+
+
 def test_chat_layouts(spark):
-    records = [
-        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"system":"be kind","id":7}',
-        '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
-        '{"instruction":"do","input":"this","output":"done"}', '{"instruction":"do","output":"done"}', '{"prompt":"p","completion":"c"}', '{"prompt":"p","response":"c","system":"s"}',
-        '{"question":"q","answer":"a","context":"c"}', '{"other":1}', "not json", None,
-    ]
-    df = spark.createDataFrame([(k, r, "clash") for k, r in enumerate(records)], "id long, record string, turns string")
+    df = spark.createDataFrame([(k, r, "clash") for k, (r, _, _) in enumerate(LAYOUT_CASES)], "id long, record string, turns string")
     out = {r.id: (r.layout, None if r.turns is None else [(t.role, t.text) for t in r.turns]) for r in chat.turns_of_json(df, "record").collect()}
-    assert out[0] == ("messages", [("system", "be kind"), ("user", "q"), ("assistant", "a")])
-    assert out[1] == ("from and value", [("user", "q"), ("assistant", "a")])
-    assert out[2] == ("instruction", [("user", "do\n\nthis"), ("assistant", "done")]) and out[3] == ("instruction", [("user", "do"), ("assistant", "done")])
-    assert out[4][1] == [("user", "p"), ("assistant", "c")] and out[5][1] == [("system", "s"), ("user", "p"), ("assistant", "c")] and out[6][1] == [("user", "c\n\nq"), ("assistant", "a")]
-    assert all(out[k] == ("unknown", None) for k in (7, 8, 9))
+    for k, (record, layout, turns) in enumerate(LAYOUT_CASES):
+        assert out[k] == (layout, turns), record
     plan = chat.turns_of_json(df, "record")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    for record, layout, turns in LAYOUT_CASES:  # the same from columns, where a schema can say it
+        if turns and '"content":[' not in record and '"from":"human","value":"more"' not in record:
+            rows = spark.read.json(spark.sparkContext.parallelize([record]))
+            name, made = chat.turns_of_columns(rows)
+            assert (name, [(t.role, t.text) for t in rows.select(made.alias("t")).first().t]) == (layout, turns), record
+
+
+def test_parts_from_columns(spark):
+    rows = spark.createDataFrame([([("user", [("a ",), ("b",)]), ("assistant", None)],)], "messages array<struct<role:string,content:array<struct<text:string>>>>")
+    name, made = chat.turns_of_columns(rows)
+    assert (name, [tuple(t) for t in rows.select(made.alias("t")).first().t]) == ("messages", [("user", "a b"), ("assistant", "")])
+
+
+def test_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é{k}") for k in range(700)]
+    r = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("learnt", chat.under_mask(F.col("text"), F.col("loss"))).first()
+    assert r.learnt == "".join(f"é{k}" for k in range(1, 700, 2)) and len(r.loss) == 350
 
 
 def test_chat_query_extra_conversation(spark, tmp_path):
