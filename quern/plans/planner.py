@@ -51,9 +51,6 @@ class Search:
             rows = rows.withColumn("score", F.round("score", decimals))
         return rows.orderBy(F.col("score").desc(), F.col("doc_id")).limit(k)
 
-    def ranked(self, f: Filter) -> DataFrame:
-        return self.matches(f).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("doc_id"))))
-
     def fetch(self, f: Filter, *columns: str) -> DataFrame:
         """Matches with stored columns."""
         return self.matches(f).join(self.index.docs.select("doc_id", *columns), "doc_id")
@@ -65,7 +62,8 @@ class Search:
         return (rows if condition is None else rows.filter(condition)).select("term", "df")
 
     def _stats(self, field: str) -> DataFrame:
-        return F.broadcast(self.index.field_stats.filter(F.col("field") == field).select("n_docs", (F.col("ttf") / F.col("n_docs")).alias("mean")))
+        rows = self.index.field_stats if self.index.counts is None else self.index.counts
+        return F.broadcast(rows.filter(F.col("field") == field).select("n_docs", (F.col("ttf") / F.col("n_docs")).alias("mean")))
 
     def _postings(self, field: str, condition: Column | None, *columns: str) -> DataFrame:
         rows = self.index.postings.filter(F.col("field") == field)
@@ -149,8 +147,15 @@ class Search:
         return rows.orderBy(F.col("similarity").desc(), F.col("term").desc()).limit(f.max_terms) if f.max_terms else rows
 
     def _part_terms(self, f: Filter) -> DataFrame:
-        """(term, df) of a phrase's part."""
-        return self._fuzzy_terms(f).select("term", "df") if isinstance(f, Fuzzy) else self._dictionary(f.field, self._condition(f))
+        """(term, df, boost) of a phrase's part: a fuzzy term counts by its similarity, others by their boost, which isn't negative."""
+        if isinstance(f, Fuzzy):
+            return self._fuzzy_terms(f).withColumnRenamed("similarity", "boost")
+        boost = F.lit(1.0)
+        if isinstance(f, Terms):
+            boost = F.element_at(F.create_map(*[F.lit(x) for t, b in f.terms for x in (t, max(0.0, float(b)))]), F.col("term"))
+        elif isinstance(f, Term):
+            boost = F.lit(max(0.0, float(f.boost)))
+        return self._dictionary(f.field, self._condition(f)).withColumn("boost", boost)
 
     # --- filters
 
@@ -222,36 +227,76 @@ class Search:
     _prefix = _range = _wildcard = _multi
 
     def _fuzzy(self, f: Fuzzy, boost: float) -> DataFrame:
-        """All matched terms share one idf, of their summed df; the best similarity counts."""
+        """All matched terms share one idf, of their summed df; the best similarity counts.  A limited number of terms is looked up first: the
+        postings' scan then has their names, and nothing is joined."""
         terms = self._fuzzy_terms(f)
+        if f.max_terms and self.scorer is not None:
+            found = terms.collect()  # max_terms at most
+            if not found:
+                return self._none()
+            near = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.term, float(r.similarity))]), F.col("term"))
+            rows = self._postings(f.field, F.col("term").isin([r.term for r in found]), "tf", "length").withColumn("df", F.lit(float(sum(r.df for r in found)))).crossJoin(self._stats(f.field))
+            idf = self.scorer.idf(F.col("df"), F.col("n_docs").cast("double"))
+            hits = rows.withColumn("score", self.scorer.score(F.col("tf").cast("double"), F.col("length").cast("double"), idf, F.col("mean"), near * boost))
+            return hits.groupBy("doc_id").agg(F.max("score").alias("score"))
         lead = F.col("term").startswith(f.prefix) if f.prefix else None
         if self.scorer is not None:
-            terms = terms.crossJoin(F.broadcast(terms.agg(F.sum("df").alias("all_df")))).select("term", F.col("all_df").alias("df"), "similarity")
+            # over the few terms within the distance
+            terms = terms.select("term", F.sum("df").over(Window.partitionBy(F.lit(0))).alias("df"), "similarity")
         return self._terms_hits(f.field, terms, lead, F.col("similarity") * boost, "max")
 
-    def _phrase_starts(self, f: Phrase, *more: str) -> DataFrame:
-        """(doc_id, start, length) of each place where all parts stand, with the first start and last end offsets if asked."""
+    def _occurrences(self, f: Phrase, *more: str) -> DataFrame:
+        """Postings of a phrase's parts with part, shift and boost.  Where all parts are terms and one is much rarer than another, the
+        frequent ones' postings are cut down to its documents before their positions are touched."""
+        shift = [at - f.parts[0][0] for at, _ in f.parts]
+        if all(isinstance(p, Term) for _, p in f.parts):
+            names = list(dict.fromkeys(p.term for _, p in f.parts))
+            known = {r.term: r.df for r in self._dictionary(f.field, F.col("term").isin(names)).collect()}  # one row per part at most
+            where = {t: F.array(*[F.struct(F.lit(k).alias("part"), F.lit(s).alias("shift"), F.lit(1.0).alias("boost")) for k, (s, (_, p)) in enumerate(zip(shift, f.parts)) if p.term == t]) for t in names}
+            if len(known) < len(names):
+                names = []
+            rare = min(names, key=known.get, default=None)
+            often = [t for t in names if known[t] > 8 * known[rare]]
+            of = lambda terms: self._postings(f.field, F.col("term").isin(terms), "length", "positions", *more)
+            rows = of([t for t in names if t not in often])
+            if often:
+                rows = rows.unionByName(of(often).join(self._postings(f.field, F.col("term") == rare).select("doc_id"), "doc_id", "left_semi").select(rows.columns))
+            parts = F.element_at(F.create_map(*[x for t, w in where.items() for x in (F.lit(t), w)]), F.col("term"))
+            return rows.select("term", "doc_id", "length", "positions", *more, F.inline(parts))
         parts = None
-        for k, (at, p) in enumerate(f.parts):
-            rows = self._part_terms(p).select("term", F.lit(k).alias("part"), F.lit(at - f.parts[0][0]).alias("shift"))
+        for k, (_, p) in enumerate(f.parts):
+            rows = self._part_terms(p).select("term", F.lit(k).alias("part"), F.lit(shift[k]).alias("shift"), F.col("boost").cast("double").alias("boost"))
             parts = rows if parts is None else parts.unionByName(rows)
         condition = reduce(Column.__or__, [self._condition(p) for _, p in f.parts]) if not any(isinstance(p, Fuzzy) for _, p in f.parts) else None
-        rows = self._postings(f.field, condition, "length", "positions", *more).join(parts, "term")
-        if more:
-            rows = rows.withColumn("at", F.explode(F.arrays_zip("positions", *more))).select("doc_id", "length", "part", (F.col("at.positions") - F.col("shift")).alias("start"), "at.starts", "at.ends")
-            return rows.groupBy("doc_id", "start").agg(F.countDistinct("part").alias("n"), F.min("starts").alias("begin"), F.max("ends").alias("end")).filter(F.col("n") == len(f.parts))
-        rows = rows.select("doc_id", "length", "part", F.explode("positions").alias("at"), "shift").select("doc_id", "length", "part", (F.col("at") - F.col("shift")).alias("start"))
-        return rows.groupBy("doc_id", "length", "start").agg(F.countDistinct("part").alias("n")).filter(F.col("n") == len(f.parts))
+        return self._postings(f.field, condition, "length", "positions", *more).join(parts, "term")
 
     def _phrase(self, f: Phrase, boost: float) -> DataFrame:
+        """A document's boost is the mean of its matched terms' boosts over all places and parts."""
         if self._lacks(f.field, "pos"):
             return self._none()
-        found = self._phrase_starts(f).groupBy("doc_id", "length").agg(F.count("*").alias("tf"))
+        n, rows = len(f.parts), self._occurrences(f)
+        own = self.scorer is not None and any(isinstance(p, Fuzzy) or isinstance(p, Terms) and any(b != 1 for _, b in p.terms) for _, p in f.parts)
+        if own:
+            at = rows.select("doc_id", "length", "part", "boost", (F.explode("positions")).alias("at"), "shift").groupBy("doc_id", "length", (F.col("at") - F.col("shift")).alias("start"), "part").agg(F.max("boost").alias("boost"))
+            starts = at.groupBy("doc_id", "length", "start").agg(F.count("*").alias("n"), F.sum("boost").alias("boost")).filter(F.col("n") == n)
+            found = starts.groupBy("doc_id", "length").agg(F.count("*").alias("tf"), (F.sum("boost") / (F.count("*") * n)).alias("part_boost"))
+        else:
+            each = rows.select("doc_id", "length", "part", F.transform("positions", lambda p: p - F.col("shift")).alias("starts"))
+            docs = each.groupBy("doc_id", "length").agg(F.collect_list(F.struct("part", "starts")).alias("of")).filter(F.size(F.array_distinct(F.col("of.part"))) == n)
+            of = lambda k: F.flatten(F.transform(F.filter("of", lambda x: x["part"] == k), lambda x: x["starts"]))
+            common = reduce(F.array_intersect, [of(k) for k in range(1, n)], F.array_distinct(of(0)))
+            found = docs.select("doc_id", "length", F.size(common).cast("bigint").alias("tf"), F.lit(1.0).alias("part_boost")).filter("tf > 0")
         if self.scorer is None:
             return found.select("doc_id", F.lit(0.0).alias("score"))
-        terms = reduce(DataFrame.unionByName, [self._part_terms(p) for _, p in f.parts])
+        terms = reduce(DataFrame.unionByName, [self._part_terms(p).select("term", "df") for _, p in f.parts])
         idf = self._idf(f.field, terms).agg(F.sum("idf").alias("idf"))
-        return self._scored(f.field, found.crossJoin(F.broadcast(idf)), "idf", F.lit(boost)).select("doc_id", "score")
+        return self._scored(f.field, found.crossJoin(F.broadcast(idf)), "idf", F.col("part_boost") * boost).select("doc_id", "score")
+
+    def _phrase_spans(self, f: Phrase) -> DataFrame:
+        """(doc_id, begin, end) of each place where all parts stand."""
+        rows = self._occurrences(f, "starts", "ends").withColumn("at", F.explode(F.arrays_zip("positions", "starts", "ends")))
+        rows = rows.select("doc_id", "part", (F.col("at.positions") - F.col("shift")).alias("start"), "at.starts", "at.ends")
+        return rows.groupBy("doc_id", "start").agg(F.countDistinct("part").alias("n"), F.min("starts").alias("begin"), F.max("ends").alias("end")).filter(F.col("n") == len(f.parts)).select("doc_id", "begin", "end")
 
     def offsets(self, f: Filter) -> DataFrame:
         """(doc_id, begin, end) of each match of a term, phrase or n-gram sequence, in code points; the field needs offsets."""
@@ -260,7 +305,7 @@ class Search:
             rows = self._postings(f.field, F.col("term") == f.term, "starts", "ends")
             return rows.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("at")).select("doc_id", F.col("at.starts").alias("begin"), F.col("at.ends").alias("end"))
         if isinstance(f, Phrase):
-            return self._phrase_starts(f, "starts", "ends").select("doc_id", "begin", "end")
+            return self._phrase_spans(f)
         if isinstance(f, NGramSimilarity):
             need, grams = needed_ngrams(f), list(dict.fromkeys(f.ngrams))
             rows = self._postings(f.field, F.col("term").isin(grams), "positions", "starts", "ends").groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions", "starts", "ends")).alias("found"))
@@ -269,7 +314,7 @@ class Search:
             def spans(found: pd.Series) -> pd.Series:
                 out = []
                 for each in found:
-                    length, places = sequence_places(f.ngrams, {x["term"]: list(x["positions"]) for x in each})
+                    length, places = sequence_places(f.ngrams, sorted((int(p), k) for x in each for p in x["positions"] for k, g in enumerate(f.ngrams) if g == x["term"]))
                     start = {p: a for x in each for p, a in zip(x["positions"], x["starts"])}
                     end = {p: b for x in each for p, b in zip(x["positions"], x["ends"])}
                     out.append([{"begin": int(start[a]), "end": int(end[b])} for a, b in places] if length >= need else [])
@@ -284,14 +329,17 @@ class Search:
         need, n = needed_ngrams(f), len(f.ngrams)
         grams = list(dict.fromkeys(f.ngrams))
         condition = F.col("term").isin(grams)
-        rows = self._postings(f.field, condition, "length", "positions").groupBy("doc_id", "length").agg(F.collect_list(F.struct("term", "positions")).alias("found"), F.count("*").alias("n"))
+        # a place is position * n + place in the query: one sorted array of numbers per document
+        slots = F.element_at(F.create_map(*[x for g in grams for x in (F.lit(g), F.array(*[F.lit(k) for k, h in enumerate(f.ngrams) if h == g]))]), F.col("term"))
+        own = F.flatten(F.transform("positions", lambda p: F.transform(slots, lambda k: p.cast("bigint") * n + k)))
+        rows = self._postings(f.field, condition, "length", "positions").select("doc_id", "length", own.alias("own")).groupBy("doc_id", "length").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("places"), F.count("*").alias("n"))
 
         @pandas_udf("longest int, tf int")
-        def sequences(found: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([longest_sequence(f.ngrams, {x["term"]: list(x["positions"]) for x in each}) for each in found], columns=["longest", "tf"])
+        def sequences(places: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([longest_sequence(f.ngrams, [divmod(x, n) for x in each.tolist()]) for each in places], columns=["longest", "tf"])
 
         # fewer distinct grams than needed can't make a sequence, unless the query repeats some
-        rows = rows.filter(F.col("n") >= max(1, need - (n - len(grams)))).withColumn("s", sequences("found")).select("doc_id", "length", "s.longest", "s.tf").filter(F.col("longest") >= need)
+        rows = rows.filter(F.col("n") >= max(1, need - (n - len(grams)))).withColumn("s", sequences("places")).select("doc_id", "length", "s.longest", "s.tf").filter(F.col("longest") >= need)
         if self.scorer is None:
             return rows.select("doc_id", F.lit(0.0).alias("score"))
         times = F.element_at(F.create_map(*[F.lit(x) for g in grams for x in (g, float(f.ngrams.count(g)))]), F.col("term"))
@@ -358,19 +406,28 @@ class Search:
         return self._constant(self.cache[f.filter], boost)
 
 
-def sequence_places(query: tuple[str, ...], positions: dict[str, list[int]]) -> tuple[int, list[tuple[int, int]]]:
+def sequence_places(query: tuple[str, ...], places: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
     """Length of the longest chain of query n-grams, in the query's order, at rising positions, and the (first, last) positions at
-    which its n-grams follow each other without overlap."""
-    places = sorted((p, k) for k, g in enumerate(query) for p in positions.get(g, ()))
+    which its n-grams follow each other without overlap.  ``places``: sorted (position, place in the query)."""
     if not places:
         return 0, []
+    # by place in the query the longest chain that ends there and its end, the earliest of equals; work is places times the query's length
+    ends: list[tuple[int, int]] = [(0, -1)] * len(query)
     best: list[tuple[int, int]] = []  # (length, previous)
-    for i, (p, k) in enumerate(places):
-        top = (1, -1)
-        for j in range(i):
-            if places[j][0] < p and places[j][1] < k and best[j][0] + 1 > top[0]:
-                top = (best[j][0] + 1, j)
-        best.append(top)
+    i = 0
+    while i < len(places):
+        at = i
+        while at < len(places) and places[at][0] == places[i][0]:
+            length, before = 0, -1
+            for n, j in ends[: places[at][1]]:
+                if n > length or n == length and n and j < before:
+                    length, before = n, j
+            best.append((length + 1, before))
+            at += 1
+        for j in range(i, at):
+            if best[j][0] > ends[places[j][1]][0]:
+                ends[places[j][1]] = (best[j][0], j)
+        i = at
     end = max(range(len(places)), key=lambda i: (best[i][0], -i))
     chain, i = [], end
     while i >= 0:
@@ -389,9 +446,9 @@ def sequence_places(query: tuple[str, ...], positions: dict[str, list[int]]) ->
     return len(chain), found
 
 
-def longest_sequence(query: tuple[str, ...], positions: dict[str, list[int]]) -> tuple[int, int]:
+def longest_sequence(query: tuple[str, ...], places: list[tuple[int, int]]) -> tuple[int, int]:
     """Length of the longest chain, and how often it comes."""
-    length, found = sequence_places(query, positions)
+    length, found = sequence_places(query, places)
     return length, len(found)
 
 

@@ -1,7 +1,7 @@
 """The inverted index as tables.
 
 docs       doc_id and the stored columns
-postings   field, term, doc_id, tf, length (the document's tokens in the field), positions, starts, ends
+postings   field, term, doc_id, tf, length (the document's tokens in the field), overlap (those at another's position), positions, starts, ends
 term_dict  field, term, df, ttf
 norms      field, doc_id, length, num_overlap, max_tf, num_unique
 field_stats  field, n_docs, ttf, n_terms, min_term, max_term
@@ -76,6 +76,8 @@ class Index:
     fields: tuple[FieldSpec, ...] = ()
     deleted: DataFrame | None = None
     relations: dict[str, DataFrame] = field(default_factory=dict)
+    #: field, n_docs, ttf alone, where they are cheaper to have than all of field_stats
+    counts: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -90,11 +92,12 @@ class Index:
         docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), *[F.col(c) for c in (df.columns if stored is None else stored) if c not in (id_col, "doc_id")])
         parts = []
         for spec in fields:
-            rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), _tokens(df, spec).alias("tokens")).select("doc_id", F.size("tokens").cast("bigint").alias("length"), F.inline("tokens"))
+            places = F.transform("tokens", lambda t: t["pos"])
+            rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), _tokens(df, spec).alias("tokens")).select("doc_id", F.size("tokens").cast("bigint").alias("length"), (F.size(places) - F.size(F.array_distinct(places))).alias("overlap"), F.inline("tokens"))
             rows = rows.filter(F.col("term").isNotNull() & (F.octet_length("term") <= MAX_TERM_BYTES))
             whole = F.array_sort(F.collect_list(F.struct("pos", "start", "end")))
-            grouped = rows.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"), whole.alias("at"))
-            parts.append(grouped.select(F.lit(spec.name).alias("field"), "term", "doc_id", "tf", "length", F.col("at.pos").alias("positions"), F.col("at.start").alias("starts"), F.col("at.end").alias("ends")))
+            grouped = rows.groupBy("term", "doc_id", "length", "overlap").agg(F.count("*").alias("tf"), whole.alias("at"))
+            parts.append(grouped.select(F.lit(spec.name).alias("field"), "term", "doc_id", "tf", "length", "overlap", F.col("at.pos").alias("positions"), F.col("at.start").alias("starts"), F.col("at.end").alias("ends")))
         postings = parts[0]
         for p in parts[1:]:
             postings = postings.unionByName(p)
@@ -104,9 +107,28 @@ class Index:
     def of_tables(docs: DataFrame, postings: DataFrame, fields: tuple[FieldSpec, ...] = ()) -> Index:
         """Dictionary, norms and statistics follow from the postings."""
         term_dict = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        norms = postings.groupBy("field", "doc_id").agg(F.first("length").alias("length"), (F.sum("tf") - F.size(F.array_distinct(F.flatten(F.collect_list("positions"))))).alias("num_overlap"), F.max("tf").alias("max_tf"), F.count("*").alias("num_unique"))
+        norms = postings.groupBy("field", "doc_id").agg(F.first("length").alias("length"), F.first("overlap").alias("num_overlap"), F.max("tf").alias("max_tf"), F.count("*").alias("num_unique"))
         return Index(docs, postings, term_dict, norms, _field_stats(term_dict, norms), fields)
 
+    def write_statistics(self, path: str, write) -> None:
+        """Dictionary, norms and counts of the postings, as tables beside them."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        write(self.term_dict.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term"), f"{path}/term_dict")
+        write(self.norms, f"{path}/norms")
+        norms, terms = self.spark.read.parquet(f"{path}/norms"), self.spark.read.parquet(f"{path}/term_dict")
+        counts = norms.groupBy("field").agg(F.count("*").alias("n_docs")).join(terms.groupBy("field").agg(F.sum("ttf").alias("ttf")), "field")
+        write(counts.coalesce(1), f"{path}/counts")
+
+    @staticmethod
+    def of_segments(spark: SparkSession, paths: list[str], fields: tuple[FieldSpec, ...] = ()) -> Index:
+        """The segments' stored tables put together: scans of postings need no other pass over them, and statistics are sums of theirs."""
+        read = lambda t: spark.read.parquet(*[f"{p}/{t}" for p in paths])
+        docs, terms, norms = spark.read.option("mergeSchema", "true").parquet(*[f"{p}/docs" for p in paths]), read("term_dict"), read("norms")
+        if len(paths) > 1:
+            terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+        counts = read("counts").groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("ttf").alias("ttf"))
+        return Index(docs, read("postings"), terms, norms, _field_stats(terms, norms), fields, counts=counts)
+
     def save(self, path: str, partitions: int | None = None) -> Index:
         """Writes the tables and returns the index that reads them."""
         n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))

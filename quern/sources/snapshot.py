@@ -1,5 +1,7 @@
 """Index life cycle: segments of documents and postings under a numbered manifest.
 
+A segment holds its documents and postings with their dictionary, norms and counts, so a search reads its terms' postings and sums small tables.
+
 A commit writes its segments first and the manifest last, by renaming it into place; a reader opens the newest manifest and
 keeps seeing its version.  Operations of a commit act in order, so a removal sees only what was inserted before it, and a
 replacement is inserted only if its filter matched.  Removed documents are masked until a merge drops them.
@@ -52,8 +54,7 @@ def _index(spark: SparkSession, root: str, m: Manifest, fields: tuple[FieldSpec,
     if not m.segments:
         return None
     paths = [f"{root}/segments/{s['name']}" for s in m.segments]
-    docs = spark.read.option("mergeSchema", "true").parquet(*[f"{p}/docs" for p in paths])
-    index = Index.of_tables(docs, spark.read.parquet(*[f"{p}/postings" for p in paths]), fields)
+    index = Index.of_segments(spark, paths, fields)
     return replace(index, deleted=spark.read.parquet(*[f"{root}/deletes/{d}" for d in m.deletes])) if m.deletes else index
 
 
@@ -205,11 +206,15 @@ class Writer:
         index = Index.build(docs, self.fields)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self._write(index.postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
+        self._statistics(path)
         self._files.delete(f"{path}/raw")
         count = docs.count()
         info = {"name": name, "docs": count, "bytes": self._files.bytes(path), "first_id": m.next_id, "last_id": m.next_id + count - 1}
         return replace(m, segments=(*m.segments, info), next_id=m.next_id + count)
 
+    def _statistics(self, path: str) -> None:
+        Index.of_tables(self.spark.read.parquet(f"{path}/docs"), self.spark.read.parquet(f"{path}/postings")).write_statistics(path, self._write)
+
     def _delete(self, m: Manifest, f: Filter) -> str | None:
         index = _index(self.spark, self.root, m, tuple(self.fields))
         if index is None:
@@ -240,6 +245,7 @@ class Writer:
         self._write(docs.repartitionByRange(*self.sort_by, "doc_id").sortWithinPartitions(*self.sort_by, "doc_id"), f"{path}/docs")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self._write(alive(part.postings).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), f"{path}/postings")
+        self._statistics(path)
         count = self.spark.read.parquet(f"{path}/docs").count()
         rest = tuple(s for s in self._manifest.segments if s["name"] not in names)
         merged = {"name": name, "docs": count, "bytes": self._files.bytes(path), "first_id": min(s["first_id"] for s in old), "last_id": max(s["last_id"] for s in old)}

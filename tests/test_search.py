@@ -158,11 +158,34 @@ def test_scored_limit_and_fuzzy(index):
     assert len(near) == len({r.doc_id for r in near})
 
 
+def test_phrase_boosts(spark):
+    """The mean of the matched terms' boosts over places and parts."""
+    df = spark.createDataFrame([(1, "red sail"), (2, "blue sail"), (3, "red sail and blue sail"), (4, "red boat"), (5, "sail red")], "doc_id long, t string")
+    index = Index.build(df, [text_field("t")])
+    parts = lambda x, y: Phrase("t", ((0, Terms("t", (("red", x), ("blue", y)))), (1, Term("t", "sail"))))
+    score = lambda f: {r.doc_id: r.score for r in Search(index, BM25(b=0.0)).matches(f).collect()}
+    plain, boosted = score(parts(1.0, 1.0)), score(parts(3.0, 0.5))
+    assert plain.keys() == boosted.keys() == {1, 2, 3}
+    for doc, mean in ((1, (3 + 1) / 2), (2, (0.5 + 1) / 2), (3, (3 + 1 + 0.5 + 1) / 4)):
+        assert boosted[doc] == pytest.approx(plain[doc] * mean)
+    fuzzy = score(Phrase("t", ((0, Fuzzy("t", "rex", 1)), (1, Term("t", "sail")))))
+    assert fuzzy.keys() == {1, 3} and fuzzy[1] == pytest.approx((2 / 3 + 1) / 2 * score(Phrase.of("t", "red", "sail"))[1])
+
+
 def test_ngram_sequences(spark):
-    assert longest_sequence(("a", "b", "c"), {"a": [1, 5], "b": [2, 6], "c": [4]}) == (3, 1)
-    assert longest_sequence(("a", "b"), {"a": [1, 5], "b": [2, 6]}) == (2, 2)
-    assert longest_sequence(("a", "b"), {"a": [3], "b": [2]}) == (1, 1)
-    assert longest_sequence(("a",), {}) == (0, 0)
+    assert longest_sequence(("a", "b", "c"), [(1, 0), (2, 1), (4, 2), (5, 0), (6, 1)]) == (3, 1)
+    assert longest_sequence(("a", "b"), [(1, 0), (2, 1), (5, 0), (6, 1)]) == (2, 2)
+    assert longest_sequence(("a", "b"), [(2, 1), (3, 0)]) == (1, 1)
+    assert longest_sequence(("a",), []) == (0, 0)
+    rng = random.Random(6)
+    for _ in range(200):  # several grams at one position, repeated grams
+        query = tuple(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+        places = sorted({(rng.randint(1, 8), k) for k in range(len(query)) for _ in range(rng.randint(0, 4))})
+        longest = {(): 0}
+        best = [1] * len(places)
+        for i, (p, k) in enumerate(places):
+            best[i] += max((best[j] for j in range(i) if places[j][0] < p and places[j][1] < k), default=0)
+        assert longest_sequence(query, places)[0] == max(best, default=0)
     text = spark.createDataFrame([(1, "a x b c a b c"), (2, "c b a")], "doc_id long, t string")
     spans = Search(Index.build(text, [text_field("t", features="offs")])).offsets(NGramSimilarity("t", ("a", "b", "c"), 0.7, False))
     assert sorted(map(tuple, spans.collect())) == [(1, 0, 7), (1, 8, 13)]
