@@ -103,3 +103,20 @@ def test_loaders(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/d").count() == 2
     convert(spark, f"{tmp_path}/s", f"{tmp_path}/z", "zstd")
     assert Index.open(spark, f"{tmp_path}/z").term_dict.count() == 2
+
+
+def test_committed_scores_read_thin_tables(spark, tmp_path):
+    """One term over a committed index: its postings' scan names the term, and nothing else of the postings is read."""
+    w = Writer(spark, f"{tmp_path}/thin", [text_field("t")])
+    for text in ("red sails", "blue sails and red"):
+        w.insert(spark.createDataFrame([(text,)], "t string"))
+    w.commit()
+    w.close()
+    index = Reader.open(spark, w.root, tuple(w.fields)).index
+    found = Search(index, BM25()).matches(Term("t", "red"))
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    posting_scans = [x for x in scans if "/postings" in x]
+    assert len({x.split("FileScan")[1] for x in posting_scans}) == 1 and all("EqualTo(term,red)" in x for x in posting_scans)
+    assert all("/postings" in x or "/term_dict" in x or "/counts" in x for x in scans)
