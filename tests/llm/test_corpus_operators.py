@@ -319,6 +319,37 @@ def test_pivot_and_blocks_skip(monkeypatch):
         assert queries.found[place][1].tolist() == [q, q + 500, q + 1000, q + 1500]
 
 
+def test_top_k_spans_begin_with_thresholds(spark, tmp_path, monkeypatch):
+    """The spans of a tile don't each begin at zero: a few shards, searched first, give each query a lower limit of its k-th score."""
+    monkeypatch.setattr(topk, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    texts = pruning_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    got = topk.top_k(rows, 4, 25, shard_docs=40, span_shards=2).collect()
+    assert Counter((r.query_id, r.rank, r.doc_id, round(r.score, 4)) for r in got) == slow_top(rows.collect(), 4, 25)
+    kth = {r.query_id: r.score for r in got if r.rank == 4}
+    seen = 0
+    for path in tmp_path.rglob("*-seed.npz"):
+        limits = np.load(path)["threshold"]
+        ids = np.load(str(path).removesuffix("-seed.npz") + ".npz")["ids"].tolist()
+        assert len(limits) == len(ids) and (limits > 0).mean() > 0.5
+        assert all(limit <= kth[q] for q, limit in zip(ids, limits))
+        seen += len(ids)
+    assert seen == len(kth) == 20
+
+
+def test_top_k_keeps_tiny_scores():
+    """A score far below the greatest of the shard still counts, and terms are exact though sums are coarse."""
+    docs = topk.Builder()
+    for k, text in enumerate(["rare", "tiny", *(f"w{k}" for k in range(200))]):
+        docs.add(k, text)
+    shard = topk.Shard(topk.build_shard(docs), 1.0)
+    asked = sorted([(0, xxhash.xxh3_64_intdigest("tiny"), 5e-6), (1, xxhash.xxh3_64_intdigest("rare"), 20.0)])
+    queries = topk.Queries(*(np.array([a[j] for a in asked], kind) for j, kind in enumerate((np.int64, np.uint64, np.float64))), 2, 10)
+    queries.search(shard)
+    found = {int(q): queries.found[place] for place, q in enumerate(queries.order)}
+    assert found[0][1].tolist() == [1] and found[0][0].tolist() == [5e-6] and found[1][1].tolist() == [0]
+
+
 def test_top_k_empty(empty):
     assert topk.top_k(empty).count() == 0
 
