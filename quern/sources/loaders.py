@@ -29,12 +29,15 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, multi_l
 def parent_relation(df: DataFrame, is_parent: Column, id_col: str = "doc_id") -> DataFrame:
     """(child_id, parent_id) where children come right before their parent in id order; those after the last one have none.
 
-    Ranges of ids are worked on apart; each then needs only the first parent of a later range, one row per range."""
+    Ranges of ids are worked on apart; each then needs only the first parent of a later range, one row per range.  Windows run from the last id
+    down: a frame that ends at the current row grows by a row at a time, while one that starts there is folded anew for each row."""
     rows = df.select(F.col(id_col).alias("child_id"), F.when(is_parent, F.col(id_col)).alias("own"))
-    rows = rows.repartitionByRange(F.col("child_id")).withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part").orderBy("child_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a number of ranges of its own: they aren't put together, so the numbers are the same wherever they are used
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, F.col("child_id")).withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy(F.col("child_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("parent", F.min("own").over(within))
-    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     edges = rows.groupBy("part").agg(F.min("own").alias("first")).select(F.col("part").alias("p"), F.min("first").over(later).alias("next"))
     out = rows.join(edges, F.col("part") == F.col("p")).select("child_id", F.coalesce("parent", "next").alias("parent_id"), "own")
     return out.filter(F.col("own").isNull() & F.col("parent_id").isNotNull()).select("child_id", "parent_id")

@@ -227,6 +227,22 @@ def test_nested(spark):
         Nested("order", All(), 2, 1)
 
 
+def test_parents_in_linear_work(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.random() < 0.02) for k in range(20_000) if k % 7]
+    rng.shuffle(rows)
+    relation = parent_relation(spark.createDataFrame(rows, "doc_id long, last boolean"), F.col("last"))
+    expected, parent = [], None
+    for k, last in sorted(rows, reverse=True):
+        parent = k if last else parent
+        if not last and parent is not None:
+            expected.append((k, parent))
+    assert sorted(map(tuple, relation.collect())) == expected[::-1]
+    # a frame from the current row on is folded anew for each row
+    plan = relation._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "unboundedfollowing" not in plan.lower()
+
+
 def test_reader_surface(index, corpus):
     assert index.docs_count() == index.live_docs_count() == len(corpus)
     assert {r.field for r in index.field_names().collect()} == {"text", "tag"}
