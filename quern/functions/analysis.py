@@ -1,8 +1,8 @@
 """Analyzers: a text column becomes an array of tokens (term, pos, start, end).
 
 Positions start at 1 and rise by a token's increment; offsets are code points.  Where built-in functions express an analyzer
-it stays in them and leaves offsets null unless ``offsets`` is asked for; the others run as vectorized functions over Arrow
-batches.  ``make_analyzer`` makes one from a name and properties, ``normalize`` gives the canonical form of a configuration.
+it stays in them and leaves offsets null unless ``offsets`` is asked for; the others run over Arrow batches and write columns,
+so no token is an object of its own for longer than its piece of a batch.  ``make_analyzer`` makes one from a name and properties, ``normalize`` gives the canonical form of a configuration.
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from quern.functions.similarity import minhash as minhash_column
 from quern.functions.stemming import stem_english
@@ -30,6 +32,10 @@ TOKENS = f"array<{TOKEN}>"
 Raw = tuple[str, int, int, int]
 
 
+#: Tokens that are held as objects before they become columns; characters of a piece of text that is remembered; how many are.
+PIECE, CHUNK_CHARS, CHUNKS = 1 << 17, 64, 300_000
+
+
 def placed(tokens: Iterable[Raw]) -> list[dict[str, Any]]:
     pos, out = 0, []
     for term, step, start, end in tokens:
@@ -38,6 +44,57 @@ def placed(tokens: Iterable[Raw]) -> list[dict[str, Any]]:
     return out
 
 
+_TOKEN = [pa.field("term", pa.string()), pa.field("pos", pa.int32()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
+
+
+class Tokens:
+    """Tokens of several texts as columns."""
+
+    def __init__(self) -> None:
+        self.terms: list[str] = []
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, terms: Iterable[str], steps: Any, starts: Any, ends: Any) -> None:
+        """Of a whole text, at most once for each."""
+        self.terms.extend(terms)
+        step = np.cumsum(np.asarray(steps, np.int64))
+        self.numbers.append(np.stack([np.maximum(step, 1), np.asarray(starts, np.int64), np.asarray(ends, np.int64)]).astype(np.int32))
+
+    def columns(self) -> list[pa.Array]:
+        """Terms, positions, starts and ends."""
+        numbers = np.concatenate(self.numbers, axis=1) if self.numbers else np.zeros((3, 0), np.int32)
+        return [pa.array(self.terms, pa.string()), *map(pa.array, numbers)]
+
+
+def token_columns(analyzer: Analyzer, texts: pa.Array) -> Iterator[tuple[list[int], pa.Array, pa.Array, pa.Array, pa.Array]]:
+    """For following texts, in pieces of about ``PIECE`` tokens: each one's number of tokens, and the tokens' terms, positions, starts and ends."""
+    counts, tokens = [], Tokens()
+    for text in texts:
+        had = len(tokens.terms)
+        if text.is_valid:
+            analyzer.add(text.as_py(), tokens)
+        counts.append(len(tokens.terms) - had)
+        if len(tokens.terms) >= PIECE:
+            yield counts, *tokens.columns()
+            counts, tokens = [], Tokens()
+    if counts:
+        yield counts, *tokens.columns()
+
+
+def token_rows(df: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(id, term, pos, start, end) for rows (id, text), a row per token, for analyzers that run in Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for counts, *columns in token_columns(analyzer, batch.column(1)):
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(at, at + len(counts)), counts)))
+                at += len(counts)
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "term", "pos", "start", "end"])
+
+    return df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, term string, pos int, start int, end int")
+
+
 class Analyzer:
     """``raw`` defines the tokens; ``tokens`` is the column form, native where a subclass has one."""
 
@@ -47,13 +104,26 @@ class Analyzer:
     def raw(self, text: str) -> list[Raw]:
         raise NotImplementedError
 
+    def add(self, text: str, into: Tokens) -> None:
+        """Appends the text's tokens: what ``raw`` gives."""
+        if tokens := self.raw(text):
+            into.add(*zip(*tokens))
+
     def tokens(self, col: Column, offsets: bool = False) -> Column:
-        @pandas_udf(TOKENS)
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([[] if t is None else placed(self.raw(t)) for t in texts])
+        @arrow_udf(TOKENS)
+        def run(texts: pa.Array) -> pa.Array:
+            counts, parts = [0], []
+            for n, *columns in token_columns(self, texts):
+                counts += n
+                parts.append(pa.StructArray.from_arrays(columns, names=["term", "pos", "start", "end"]))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_TOKEN)))
 
         return run(col)
 
+    def in_python(self, offsets: bool = False) -> bool:
+        """Whether ``tokens`` is but ``raw`` over batches."""
+        return type(self).tokens is Analyzer.tokens
+
     def properties(self) -> dict[str, Any]:
         return {k: v for k, v in vars(self).items() if not k.startswith("_")}
 
@@ -89,6 +159,9 @@ class Empty(Analyzer):
         return F.expr(f"cast(array() as {TOKENS})")
 
 
+_GAP_WORD = regex.compile(r"([^\p{L}\p{N}]*+)([\p{L}\p{N}]++)")
+
+
 @dataclass
 class Words(Analyzer):
     """Runs of letters and digits, lower-cased: the native tokenizer, for which SQL has an equal."""
@@ -102,9 +175,20 @@ class Words(Analyzer):
         return [(m[0].lower() if self.lower else m[0], 1, m.start(), m.end()) for m in regex.finditer(self.PATTERN, text)]
 
     def tokens(self, col: Column, offsets: bool = False) -> Column:
-        if offsets:
-            return super().tokens(col)
-        return _native(F.regexp_extract_all(F.lower(col) if self.lower else col, F.lit(self.PATTERN), F.lit(0)))
+        return super().tokens(col) if offsets else _native(self.words(col))
+
+    def in_python(self, offsets: bool = False) -> bool:
+        return offsets
+
+    def words(self, col: Column) -> Column:
+        return F.regexp_extract_all(F.lower(col) if self.lower else col, F.lit(self.PATTERN), F.lit(0))
+
+    def add(self, text: str, into: Tokens) -> None:
+        if found := _GAP_WORD.findall(text):
+            gaps, words = zip(*found)
+            gap, size = (np.fromiter(map(len, x), np.int64, len(found)) for x in (gaps, words))
+            ends = np.cumsum(gap + size)
+            into.add(map(str.lower, words) if self.lower else words, np.ones(len(found), np.int64), ends - size, ends)
 
 
 @dataclass
@@ -327,18 +411,87 @@ def segments(text: str) -> list[tuple[str, int, int]]:
     return [(text[a:b], a, b) for a, b in zip(edges, edges[1:])]
 
 
+# Where all characters are of these, whose classes are known, a word is letters, digits and low lines, with a sign within letters or within digits.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_OTHER = re.compile(f"[^\\t-\\r -~{_LETTER}¡-©«¬®±¿–—“”„…€]|(?<![{_LETTER}])'(?=[{_LETTER}])")
+_PLAIN = re.compile(f"([^{_LETTER}0-9_]*+)((?:[{_LETTER}0-9_]++|(?<=[{_LETTER}])[:.'](?=[{_LETTER}])|(?<=[0-9])[.',;](?=[0-9]))++)")
+_ALPHA = regex.compile(r"[\p{L}\p{N}]")
+#: There is a word boundary on both sides of ASCII white space, unless what follows extends it, or halves of flags are about.
+_CHUNK = re.compile("[^ \\t-\\r]+")
+_EXTENDS = regex.compile(r"(?:\A|\s)[\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]|\p{RI}")
+
+
+class _Known(dict):
+    """Distinct pieces of text -> what ``make`` makes of them."""
+
+    def __init__(self, make: Callable[[str], Any]) -> None:
+        self.make = make
+
+    def __missing__(self, piece: str) -> Any:
+        made = self.make(piece)
+        if len(piece) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[piece] = made
+        return made
+
+
+class Segmented(Analyzer):
+    """Looks at each word segment with a letter or digit alone; ``made`` gives its tokens' terms and increments."""
+
+    def made(self, segment: str) -> list[tuple[str, int]]:
+        raise NotImplementedError
+
+    def raw(self, text: str) -> list[Raw]:
+        return [(t, step, a, b) for s, a, b in segments(text) if _ALPHA.search(s) for t, step in self.made(s)]
+
+    def _known(self, name: str, make: Callable[[str], Any]) -> _Known:
+        return vars(self).setdefault(name, _Known(make))
+
+    def add(self, text: str, into: Tokens) -> None:
+        """A distinct word, or chunk between white space, is looked at once."""
+        if not _OTHER.search(text):
+            found = _PLAIN.findall(text)
+            if not found:
+                return
+            gaps, words = zip(*found)
+            gap, size = (np.fromiter(map(len, x), np.int64, len(found)) for x in (gaps, words))
+            at = np.cumsum(gap + size) - size
+            known = self._known("_words", lambda w: tuple(zip(*((t, step, 0, len(w)) for t, step in (self.made(w) if w.strip("_:.',;") else ())))) or ((), (), (), ()))
+        elif not _EXTENDS.search(text):
+            words, at = _CHUNK.findall(text), np.array([m.start() for m in _CHUNK.finditer(text)], np.int64)
+            known = self._known("_chunks", lambda c: tuple(zip(*self.raw(c))) or ((), (), (), ()))
+        else:
+            super().add(text, into)
+            return
+        made = list(map(known.__getitem__, words))
+        terms, steps, starts, ends = (list(chain.from_iterable([m[k] for m in made])) for k in range(4))
+        if terms:
+            at = np.repeat(at, [len(m[0]) for m in made])
+            into.add(terms, steps, starts + at, ends + at)
+
+
 @dataclass
-class Segmentation(Analyzer):
+class Segmentation(Segmented):
     """Unicode word segments: all of them, those with something to see (graphic), or those with a letter or digit (alpha)."""
 
     type_name = "segmentation"
     case: str = "lower"
     break_: str = "alpha"
 
+    def made(self, segment: str) -> list[tuple[str, int]]:
+        return [(_case(segment, self.case), 1)]
+
     def raw(self, text: str) -> list[Raw]:
-        keep = {"all": lambda s: True, "graphic": lambda s: not s.isspace(), "alpha": lambda s: regex.search(r"[\p{L}\p{N}]", s)}[self.break_]
+        keep = {"all": lambda s: True, "graphic": lambda s: not s.isspace(), "alpha": _ALPHA.search}[self.break_]
         return [(_case(s, self.case), 1, a, b) for s, a, b in segments(text) if keep(s)]
 
+    def add(self, text: str, into: Tokens) -> None:
+        if self.break_ == "alpha":
+            super().add(text, into)
+        else:
+            Analyzer.add(self, text, into)
+
 
 def load_stopwords(locale: str, path: str | None = None) -> set[str]:
     """First words of the lines of all files in <path>/<language>; lines that start with white space are ignored."""
@@ -352,7 +505,7 @@ def load_stopwords(locale: str, path: str | None = None) -> set[str]:
 
 
 @dataclass
-class Text(Analyzer):
+class Text(Segmented):
     """Words, composed, cased, accents removed, stop words dropped (before stemming, without a gap), stemmed, or cut into edge
     n-grams."""
 
@@ -374,26 +527,19 @@ class Text(Analyzer):
             words |= load_stopwords(self.locale, self.stopwords_path)
         self._stop = words
 
-    def raw(self, text: str) -> list[Raw]:
-        out: list[Raw] = []
-        english = self.locale.split("_")[0].split(".")[0] == "en"
-        for s, a, b in segments(text):
-            if not regex.search(r"[\p{L}\p{N}]", s):
-                continue
-            w = _case(unicodedata.normalize("NFC", s), self.case)
-            w = w if self.accent else without_accents(w)
-            if w in self._stop:
-                continue
-            w = stem_english(w) if self.stemming and english else w
-            if not (e := self.edge_ngram):
-                out.append((w, 1, a, b))
-                continue
-            low, high = max(e.get("min", 1), 1), e.get("max") or len(w)
-            grams = [w[:k] for k in range(low, min(high, len(w)) + 1)]
-            if e.get("preserveOriginal") and w not in grams:
-                grams.append(w)
-            out += [(g, int(k == 0), a, b) for k, g in enumerate(grams)]
-        return out
+    def made(self, segment: str) -> list[tuple[str, int]]:
+        w = _case(unicodedata.normalize("NFC", segment), self.case)
+        w = w if self.accent else without_accents(w)
+        if w in self._stop:
+            return []
+        w = stem_english(w) if self.stemming and self.locale.split("_")[0].split(".")[0] == "en" else w
+        if not (e := self.edge_ngram):
+            return [(w, 1)]
+        low, high = max(e.get("min", 1), 1), e.get("max") or len(w)
+        grams = [w[:k] for k in range(low, min(high, len(w)) + 1)]
+        if e.get("preserveOriginal") and w not in grams:
+            grams.append(w)
+        return [(g, int(k == 0)) for k, g in enumerate(grams)]
 
 
 @dataclass
@@ -463,8 +609,6 @@ class NearestNeighbors(Analyzer):
     top_k: int = 1
 
     def raw(self, text: str) -> list[Raw]:
-        import numpy as np
-
         words = list(self.vectors)
         m = np.array([self.vectors[w] for w in words], dtype=float).reshape(len(words), -1)
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import similarity as sim
-from quern.functions.analysis import Identity, NGram, StopWords, Words, make_analyzer
+from quern.functions.analysis import Identity, NGram, StopWords, Words, make_analyzer, token_rows
 from quern.operators.filters import All, And, Empty, Exists, Filter, Fuzzy, Nested, NGramSimilarity, Not, NumericRange, Or, Phrase, Prefix, Proxy, Range, SamePosition, Term, Terms, Where, Wildcard
 from quern.operators.scorers import BM25, TFIDF, BoostScore, Scorer
 from quern.plans.planner import Search, search_all
@@ -119,7 +119,11 @@ def _ranked(f: Filter, scorer: Scorer | None = None, index: Callable[[SparkSessi
 
 def _tokens(analyzer, table: str, column: str, key: str, offsets: bool = False) -> Query:
     def run(spark: SparkSession, d: DataFrame) -> DataFrame:
-        rows = _table(spark, d, table).select(F.col(key).alias("id"), F.inline(analyzer.tokens(F.col(column), offsets)))
+        rows = _table(spark, d, table)
+        if analyzer.in_python(offsets):
+            rows = token_rows(_spread(rows.select(F.col(key).alias("id"), column)), analyzer)
+        else:
+            rows = rows.select(F.col(key).alias("id"), F.inline(analyzer.tokens(F.col(column), offsets)))
         return rows.select("id", "term", "pos", *(["start", "end"] if offsets else []))
 
     return run

@@ -1,10 +1,13 @@
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.functions import analysis
 from quern.functions import similarity as sim
 from quern.functions.analysis import MinHash, NGram, Pipeline, Text, Words, make_analyzer, normalize, register_analyzer, segments
 from quern.functions.stemming import stem_english
@@ -132,3 +135,29 @@ def test_ngram_similarity():
     assert sim.ngram_score("abcd", "abcd", 2, True) == 1.0
     assert sim.ngram_score("abcd", "xxab", 2, True) == pytest.approx(1 / 3)
     assert sim.ngram_score("abc", "abd", 2, False) == sim.ngram_score("abd", "abc", 2, False) == pytest.approx(0.75)
+
+
+def test_token_columns_are_what_raw_gives(spark, monkeypatch):
+    rng = random.Random(8)
+    signs = [*" \t\n aAbz09'.,:;_-\"", "é", "’", "ß", "İ", "²", "中", "カ", "ﾞ", "א", "👨", "🏽", "🇩", "\u0301", "\u200d", "\u3000", "can't", "l'eau", "3.5"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 16))) for _ in range(2000)] + [None, "", "the running dogs' 'own"]
+    analyzers = [make_analyzer("segmentation", {}), make_analyzer("text", {"locale": "en", "stopwords": ["a", "the"]}), make_analyzer("text", {"locale": "en", "stopwords": [], "edgeNgram": {"min": 1, "max": 3, "preserveOriginal": True}}), Words(), make_analyzer("stem", {"locale": "en"})]
+    monkeypatch.setattr(analysis, "PIECE", 50)
+    for a in analyzers:
+        pieces = [(counts, [c.to_pylist() for c in columns]) for counts, *columns in analysis.token_columns(a, pa.array(texts))]
+        assert max(sum(counts) for counts, _ in pieces) < 50 + 60  # a piece ends with the text that fills it
+        rows, counts = [t for _, columns in pieces for t in zip(*columns)], [n for counts, _ in pieces for n in counts]
+        expected = [analysis.placed(a.raw(t)) if t is not None else [] for t in texts]
+        assert counts == list(map(len, expected))
+        assert rows == [tuple(t.values()) for x in expected for t in x]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts[-200:])], "id int, text string")
+    assert sorted(map(tuple, analysis.token_rows(rows, analyzers[1]).collect())) == sorted((k, *t.values()) for k, x in enumerate(texts[-200:]) if x is not None for t in analysis.placed(analyzers[1].raw(x)))
+    in_column = rows.select("id", F.inline(analyzers[1].tokens(F.col("text"), True)))
+    assert sorted(map(tuple, in_column.collect())) == sorted(map(tuple, analysis.token_rows(rows, analyzers[1]).collect()))
+
+
+def test_a_word_is_stemmed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(analysis, "stem_english", lambda w: seen.append(w) or w)
+    list(analysis.token_columns(make_analyzer("text", {"locale": "en", "stopwords": []}), pa.array(["running dogs ran running"] * 50)))
+    assert sorted(seen) == ["dogs", "ran", "running"]
