@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pytest
@@ -264,3 +266,35 @@ def test_plans_push_down(index):
 def test_empty_table(spark):
     index = Index.build(spark.createDataFrame([], "doc_id long, text string"), [text_field("text")])
     assert ids(index, Or((Term("text", "a"), Prefix("text", "b"))), BM25()) == [] and ids(index, Phrase.of("text", "a", "b"), BM25()) == []
+
+
+def test_postings_are_grouped_where_the_document_lies(spark, tmp_path, monkeypatch):
+    """Repeated, null and missing ids and texts, repeated fields, pieces of few tokens; no token is shuffled."""
+    monkeypatch.setattr("quern.sources.invert.PIECE", 7)
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 2, 3, *range(4, 60)]), " ".join(rng.choices(["a", "b", "Ab", "é", "x" * 40_000], [8, 4, 2, 1, 0.1], k=rng.randint(0, 9))), [rng.choice("uvw") for _ in range(rng.randint(0, 3))]) for _ in range(90)]
+    rows += [(100, None, None), (None, None, None), (101, "", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, many array<string>")
+    for features in ("pos", "offs"):
+        index = Index.build(df, [text_field("text", features=features), keyword_field("many")])
+        expected, norms = {}, {}
+        for doc, text, many in rows:
+            words = [(t.lower(), k, *((m.start(), m.end()) if features == "offs" else (None, None))) for k, (t, m) in enumerate(((m[0], m) for m in re.finditer(r"\w+", text or "")), 1)]
+            for name, tokens in (("text", words), ("many", [(t, k, 0, 1) for k, t in enumerate(many or [], 1)])):
+                for t, *at in tokens:
+                    if len(t) <= 32768:
+                        expected.setdefault((name, t, doc, len(tokens)), []).append(tuple(at))
+                        norms.setdefault((name, doc), []).append((t, at[0]))
+        # the values' place in an array adds the last end to offsets
+        place = lambda name, at: (at[0], None, None) if name == "many" else at
+        want = sorted((*k, len(v), sorted(map(lambda at: place(k[0], at), v))) for k, v in expected.items() if k[2] is not None)
+        saved = index.save(f"{tmp_path}/{features}")
+        for one in (index, saved):
+            found = one.postings.collect()
+            assert len(found) == len(expected)
+            assert want == sorted((r.field, r.term, r.doc_id, r.length, r.tf, sorted(place(r.field, x) for x in zip(r.positions, r.starts, r.ends))) for r in found if r.doc_id is not None)
+            assert {(r.field, r.doc_id): (r.num_overlap) for r in one.norms.collect()} == {k: len(v) - len({p for _, p in v}) for k, v in norms.items()}
+            assert {(r.field, r.term): r.df for r in one.term_dict.collect()} == Counter(k[:2] for k in expected)
+        assert {(r.field, r.term, r.df) for r in saved.postings.collect()} == {(r.field, r.term, r.df) for r in saved.term_dict.collect()}
+        plan = index.postings._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and "collect_list" not in plan
